@@ -14,6 +14,7 @@ are measured whole (arrays of a text's words live in one row's memory).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, let, words
 
-# The most frequent function words of English, French, German and Spanish.
+# Frequent function words of English, French, German and Spanish; words equal to one of them count.
 STOP_WORDS = (
     "the of and to in a is that it for was on with as be by this are at from "
     "de la le et les en des un du que une est pour qui dans au par sur pas "
@@ -60,24 +61,36 @@ def _repeat_words(w: Column) -> Column:
     """Words inside WINDOW-word windows that occur twice or more in the text.
 
     Window hashes are compared first: as many distinct hashes as windows proves that no
-    window repeats. Only otherwise are the windows themselves sorted and matched.
+    window repeats. Only otherwise are hashes sorted and neighbours matched: as longs
+    of the upper 44 hash bits over the start where that is exact (up to 2**20 windows and no
+    two hashes that differ in the lower bits alone), else as (hash, start) pairs.
     """
     n = F.size(w)
     starts = F.sequence(F.lit(0), n - WINDOW)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    grams = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("g"), i.alias("i"))))
-
-    def found(s: Column) -> Column:
-        same = lambda j, k: F.coalesce(F.get(s, j)["g"] == F.get(s, k)["g"], F.lit(False))
-        at = F.filter(F.transform(s, lambda x, j: F.when(same(j, j - 1) | same(j, j + 1), x["i"])), lambda i: i.isNotNull())
-        return F.array_sort(at)
+    low = F.lit((1 << 20) - 1).cast("long")
 
     def covered(at: Column) -> Column:
         # each start adds its window up to the next start
         return F.aggregate(at, F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["sum"] + F.least(F.lit(WINDOW), i - a["last"])).alias("sum"), i.alias("last")), lambda a: a["sum"])
 
-    slow = let(let(grams, found), covered)
-    return F.when(n < WINDOW, 0).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(slow))).cast("long")
+    def matched(s: Column, hash_of, start_of) -> Column:
+        same = lambda x, k: F.coalesce(hash_of(F.get(s, k)) == hash_of(x), F.lit(False))
+        at = F.transform(s, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), start_of(x)))
+        return let(F.sort_array(F.filter(at, lambda i: i.isNotNull())), covered)
+
+    def by_pairs(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(pairs, lambda s: matched(s, lambda x: x["h"], lambda x: x["i"]))
+
+    def by_longs(h: Column) -> Column:
+        top, start = (lambda x: F.shiftright(x, 20)), (lambda x: x.bitwiseAND(low).cast("int"))
+        keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~((1 << 20) - 1)).cast("long")).bitwiseOR(i.cast("long"))))
+        tops = F.size(F.array_distinct(F.transform(h, top)))
+        exact = (F.size(h) <= (1 << 20)) & (tops == F.size(F.array_distinct(h)))
+        return F.when(exact, let(keys, lambda s: matched(s, top, start))).otherwise(by_pairs(h))
+
+    return F.when(n < WINDOW, 0).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(by_longs(h)))).cast("long")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -100,13 +113,13 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts and ratios that rules speak of."""
     t = F.coalesce(F.col(text), F.lit(""))
-    without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
+    without = lambda chars: (F.length(t) - F.length(F.regexp_replace(t, "[" + re.sub(r"(\W)", r"\\\1", chars) + "]+", ""))).cast("long")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
-    stop = lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(STOP_WORDS)
+    stop = lambda w: w.isin(STOP_WORDS)
     begins = lambda x: F.ltrim(x).rlike(r"^[-*•]")
     of_words = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _repeat_words(w).alias("n_repeat_words"),
         F.size(F.filter(w, stop)).cast("long").alias("n_stop_words"),
     )
@@ -164,7 +177,7 @@ repeated AS (SELECT doc_id, sum(step)::BIGINT AS n FROM steps GROUP BY doc_id),
 counts AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
     (length(t) - length(translate(t, {_quoted}, '')))::BIGINT AS n_punctuation,
-    len(list_filter(w, lambda x: lower(trim(x, {_quoted})) IN ({_stops})))::BIGINT AS n_stop_words,
+    len(list_filter(w, lambda x: x IN ({_stops})))::BIGINT AS n_stop_words,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     len(list_filter(l, lambda x: regexp_matches(ltrim(x), '^[-*•]')))::BIGINT AS n_bullet_lines,
     len(list_filter(l, lambda x: rtrim(x) LIKE '%...'))::BIGINT AS n_ellipsis_lines,
