@@ -1,6 +1,10 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import quality_rules
+from . import mixing, quality_rules, sharding
 
-QUERIES = {"op8_quality_rules": quality_rules.op8_quality_rules}
+QUERIES = {
+    "op5_mix": mixing.op5_mix,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_shards": sharding.op9_shards,
+}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE_SQL}
