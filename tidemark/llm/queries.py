@@ -1,8 +1,9 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import mixing, quality_rules, sharding
+from . import mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op3_secrets": secret_scan.op3_secrets,
     "op5_mix": mixing.op5_mix,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_shards": sharding.op9_shards,
