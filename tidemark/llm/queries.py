@@ -1,11 +1,12 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import mixing, quality_rules, secret_scan, sharding, simhash
+from . import langid, mixing, quality_rules, secret_scan, sharding, simhash
 
 QUERIES = {
     "op3_secrets": secret_scan.op3_secrets,
     "op5_mix": mixing.op5_mix,
     "op6_simhash": simhash.op6_simhash,
+    "op7_language": langid.op7_language,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_shards": sharding.op9_shards,
 }
