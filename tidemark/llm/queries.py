@@ -1,9 +1,10 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import langid, mixing, quality_rules, secret_scan, sharding, simhash
+from . import langid, mixing, quality_rules, secret_scan, sharding, simhash, simple8b
 
 QUERIES = {
     "op3_secrets": secret_scan.op3_secrets,
+    "op4_token_ids": simple8b.op4_token_ids,
     "op5_mix": mixing.op5_mix,
     "op6_simhash": simhash.op6_simhash,
     "op7_language": langid.op7_language,
