@@ -1,8 +1,9 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import langid, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b
+from . import langid, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_secrets": secret_scan.op3_secrets,
     "op4_token_ids": simple8b.op4_token_ids,
