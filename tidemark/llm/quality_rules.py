@@ -150,6 +150,12 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     return measure(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that pass, with their columns as they were."""
+    held = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return apply_rules(held, rules).where("kept").select("_row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_punctuation", "base_failed", "kept")
 

@@ -1,6 +1,6 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import langid, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b, token_counts
+from . import langid, media, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,4 +13,5 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_shards": sharding.op9_shards,
 }
+QUERIES["op10_media"] = media.op10_media
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE_SQL}
