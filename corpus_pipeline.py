@@ -1,15 +1,55 @@
-"""Stages from raw documents to encoded training text."""
+"""From raw documents to encoded training text.
+
+Each stage reads what the one before kept, and its decisions take effect: rejected
+documents go, one document of each near-duplicate component stays, secrets are masked, rows
+come as often as the mix takes them, and the last stage gives piece ids instead of text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import mixing, quality_rules, secret_scan, sentencepiece_codec, simhash
+from tidemark.llm.simple8b import shared_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(docs.drop("n_chars"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing", mix),
+    ("encoding", encode),
+]
+#: The mix and the pieces have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = shared_path(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
