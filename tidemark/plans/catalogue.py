@@ -1,4 +1,4 @@
-"""Registry of queries and of the SQL each is checked against."""
+"""All queries of the library; importing the plan modules registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import notes, signals, slides  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
