@@ -60,22 +60,22 @@ def roc_auc(df: DataFrame, score: str, label: str = "label", *keys: str) -> Data
 def tolerance_match(predicted: DataFrame, truth: DataFrame, tolerance: float, time: str = "t", part: str = PART) -> DataFrame:
     """(entity, tp, fp, fn): each prediction in order takes the first free truth within tolerance.
 
-    The choice depends on what earlier predictions took, so each entity is a fold; both sides
-    meet in one co-grouped exchange. Entities on either side appear.
+    Order is that of the column ord. The choice depends on what earlier predictions took, so each
+    entity is a fold; both sides meet in one exchange. Entities on either side appear.
     """
 
-    def match(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        key = (p if len(p) else m)[part].iloc[0]
-        in_order = lambda x: x.sort_values("ord")[time].tolist() if len(x) else []  # noqa: E731  an absent side has no columns
-        times = in_order(m)
-        free = list(range(len(times)))
-        tp = 0
-        for x in in_order(p):
+    def match(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ord", kind="stable")
+        times = g.loc[g["side"] == 1, time].tolist()
+        wanted = g.loc[g["side"] == 0, time].tolist()
+        free, tp = list(range(len(times))), 0
+        for x in wanted:
             hit = next((k for k in free if abs(times[k] - x) <= tolerance), None)
             if hit is not None:
                 free.remove(hit)
                 tp += 1
-        return pd.DataFrame({part: [key], "tp": [tp], "fp": [len(p) - tp], "fn": [len(free)]})
+        return pd.DataFrame({part: [g[part].iloc[0]], "tp": [tp], "fp": [len(wanted) - tp], "fn": [len(free)]})
 
+    sided = lambda df, k: df.select(part, time, "ord", F.lit(k).alias("side"))
     kind = predicted.schema[part].dataType.simpleString()
-    return predicted.select(part, time, "ord").groupBy(part).cogroup(truth.select(part, time, "ord").groupBy(part)).applyInPandas(match, f"{part} {kind}, tp long, fp long, fn long")
+    return sided(predicted, 0).unionByName(sided(truth, 1)).groupBy(part).applyInPandas(match, f"{part} {kind}, tp long, fp long, fn long")
