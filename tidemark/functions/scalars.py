@@ -38,11 +38,6 @@ def guarded_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def half_even(x: Column, digits: int) -> Column:
-    """x rounded by its exact binary value, ties to even, as sinks print it."""
-    return F.bround(x.cast("decimal(38,18)"), digits).cast("double")
-
-
 def title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
