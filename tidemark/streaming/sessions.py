@@ -1,7 +1,8 @@
 """Stream forms of the ordered operators: sessions, sequential acceptance, rolling features.
 
 Events carry (video_id, at, value); state is kept per entity and is bounded: a session window,
-one time, or the last few values. Entities are dropped from state after a time without events.
+one time, or the last few values. With idle_ms, entities leave the state after so long without
+events; such a stream never ends by itself, so runs to the end of what is there go without.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     )
 
 
-def spaced(events: DataFrame, gap_seconds: float, idle_ms: int = 86_400_000) -> DataFrame:
+def spaced(events: DataFrame, gap_seconds: float, idle_ms: int | None = None) -> DataFrame:
     """Events at least gap after the last one kept of their entity, in the order of each micro-batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,15 +40,16 @@ def spaced(events: DataFrame, gap_seconds: float, idle_ms: int = 86_400_000) ->
                 last = t
         if last is not None:
             state.update((last,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if kept:
             yield pd.DataFrame({"video_id": [key[0]] * len(kept), "t": kept})
 
     timed = events.withColumn("t", F.unix_micros("at") / F.lit(1e6)).select("video_id", "t")
-    return timed.groupBy("video_id").applyInPandasWithState(step, "video_id long, t double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy("video_id").applyInPandasWithState(step, "video_id long, t double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def rolling(events: DataFrame, rows: int, idle_ms: int = 86_400_000) -> DataFrame:
+def rolling(events: DataFrame, rows: int, idle_ms: int | None = None) -> DataFrame:
     """Difference to the value before and mean and maximum of the last `rows` values: the frame loop's bounded state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,12 +63,13 @@ def rolling(events: DataFrame, rows: int, idle_ms: int = 86_400_000) -> DataFram
             held = [*held, v][-rows:]
             out.append((key[0], t, change, sum(held) / len(held), max(held)))
         state.update((held,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["video_id", "t", "change", "rolling_mean", "rolling_max"])
 
     timed = events.withColumn("t", F.unix_micros("at") / F.lit(1e6)).select("video_id", "t", "value")
-    return timed.groupBy("video_id").applyInPandasWithState(step, "video_id long, t double, change double, rolling_mean double, rolling_max double", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy("video_id").applyInPandasWithState(step, "video_id long, t double, change double, rolling_mean double, rolling_max double", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
