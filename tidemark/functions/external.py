@@ -1,13 +1,12 @@
 """Outside models as columns: recognisers, transcribers and writers plug in as plain functions.
 
-A model is built once per worker by its factory and called per row inside an Arrow batch; a call
+A model is built once per task by its factory and called per row inside an Arrow batch; a call
 that fails gives the fallback, so that one bad input costs one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,19 +16,19 @@ SPOKEN = "struct<language string, full_text string, segments array<struct<start
 
 
 def _guarded(factory: Callable[[], Callable], kind: str, fallback: Callable):
-    build = cache(factory)
-
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.DataFrame:
-        model, rows = build(), []
-        for v in values:
-            try:
-                rows.append(model(v))
-            except Exception:
-                rows.append(fallback(v))
-        return pd.DataFrame(rows)
+    def run(batches):
+        model = factory()
+        for values in batches:
+            rows = []
+            for v in values:
+                try:
+                    rows.append(model(v))
+                except Exception:
+                    rows.append(fallback(v))
+            yield pd.Series(rows, dtype="object") if kind == "string" else pd.DataFrame(rows)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series if kind == "string" else pd.DataFrame]}
+    return F.pandas_udf(run, kind)
 
 
 def recognise(factory: Callable[[], Callable[[bytes], dict]]):
@@ -44,19 +43,7 @@ def transcribe(factory: Callable[[], Callable[[bytes], dict]]):
 
 def write_notes(factory: Callable[[], Callable[[str], str]]):
     """Column of prompts -> text; a failed call returns its prompt's first line after a mark."""
-    build = cache(factory)
-
-    @F.pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        model, out = build(), []
-        for p in prompts:
-            try:
-                out.append(model(p))
-            except Exception:
-                out.append("stub: " + (p or "").split("\n")[0])
-        return pd.Series(out, dtype="object")
-
-    return run
+    return _guarded(factory, "string", lambda p: "stub: " + (p or "").split("\n")[0])
 
 
 def python_round(digits: int):
