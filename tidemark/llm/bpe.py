@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Units kept per worker; a full cache is emptied.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 _LONGEST_CACHED = 64
 _ADJACENT_SPACE = re.compile(r"\s\s")
 
@@ -37,40 +37,63 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: byte-level tokens are written with one character per byte.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, straight from the library."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def many(self, units: list[str]) -> list[bytes]:
+        """whole() for many short units: those that begin at a word go through the library as one text.
+
+        Such a unit starts with a space before a non-space and ends in a non-space, so it
+        begins and ends a pre-token also between others; token widths tell the units apart again.
+        """
+        plain = [u for u in units if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            reached = np.cumsum(self.widths[ids])
+            ends = np.cumsum([len(u.encode()) for u in part])
+            stops = np.searchsorted(reached, ends) + 1
+            if reached[-1] != ends[-1] or (reached[stops - 1] != ends).any():
+                continue  # left to whole() below
+            data, begin = ids.tobytes(), 0
+            for u, stop in zip(part, stops.tolist(), strict=True):
+                out[u] = data[4 * begin : 4 * stop]
+                begin = stop
+        rest = [u for u in units if u not in out]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            out.update(zip(part, self.whole(part), strict=True))
+        return [out[u] for u in units]
+
     def units(self, text: str) -> list[str] | None:
         """The text's units, or None where it must be encoded whole."""
         if "\0" in text or any(s in text for s in self.special) or _ADJACENT_SPACE.search(text):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known = {"": b""}
-            new = list(units)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self.whole(part), strict=True))
-
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers; null is empty."""
         units = self.units(text or "")
         if units is None:
             return self.whole([text])[0]
-        known = self.known
-        missing = {u for u in units if u not in known}
+        missing = list(set(units).difference(self.known))
+        rare: dict[str, bytes] = {}
         if missing:
-            if len(missing) > CACHE_UNITS // 2 or max(map(len, missing)) > _LONGEST_CACHED:
-                rare = {u: b for u, b in zip(missing, self.whole(list(missing)), strict=True)}
-                return b"".join([known[u] if u in known else rare[u] for u in units])
-            self.learn(missing if len(known) + len(missing) <= CACHE_UNITS else set(units))
-            known = self.known
-        return b"".join(map(known.__getitem__, units))
+            for u, ids in zip(missing, self.many(missing), strict=True):
+                (self.known if len(u) <= _LONGEST_CACHED else rare)[u] = ids
+        known = self.known
+        out = b"".join([rare[u] if u in rare else known[u] for u in units] if rare else map(known.__getitem__, units))
+        if len(known) > CACHE_UNITS:
+            self.known = {"": b""}
+        return out
 
 
 @cache

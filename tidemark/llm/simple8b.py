@@ -58,10 +58,12 @@ def pack_many(rows: list[np.ndarray]) -> list[np.ndarray]:
     size = len(flat)
     # the first selector, from many values to few, whose width holds all values from here on
     selector = np.zeros(size, np.uint8)
+    width = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), flat, side="right").astype(np.uint8)
+    over = np.zeros(size + 1 + _PAD, np.int32)
     for k, (count, bits) in reversed(list(enumerate(WIDTHS, 1))):
-        over = np.concatenate(([0], np.cumsum(flat >> np.uint64(bits) != 0)))
-        last = np.minimum(np.arange(count, size + count), size)
-        selector[over[last] == over[:-1]] = k
+        np.cumsum(width > bits, dtype=np.int32, out=over[1 : size + 1])
+        over[size + 1 :] = over[size]
+        selector[over[count : count + size] == over[:size]] = k
     step = _COUNTS[selector].tolist()
     starts: list[int] = []
     ends = []

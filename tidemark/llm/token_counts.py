@@ -54,9 +54,7 @@ class Counter:
             if len(known) + len(new) > 600_000:
                 known.clear()
                 new = list(set(pieces))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                known.update(zip(part, [len(b) // 4 for b in self.encoder.whole(part)], strict=True))
+            known.update(zip(new, [len(b) // 4 for b in self.encoder.many(new)], strict=True))
         return [known[p] for p in pieces]
 
 
