@@ -50,7 +50,7 @@ def fisher_yates(rows: Column, draw) -> Column:
         rest = F.concat(F.slice(a["left"], 1, at), F.slice(a["left"], at + 2, F.greatest(n - at - 1, F.lit(0))))
         return F.struct(rest.alias("left"), F.array_append(a["out"], F.get(a["left"], at)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(rows)), start, step, lambda a: a["out"])
+    return F.when(F.size(rows) > 0, F.aggregate(F.sequence(F.lit(1), F.size(rows)), start, step, lambda a: a["out"])).otherwise(rows)
 
 
 def plan_shards(records: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
