@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, slices
 
 MARKER = "▁"
 #: Below the least score of a piece.
 UNKNOWN = 10.0
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 _LONGEST_CACHED = 64
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
@@ -204,22 +204,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
         c = codec(path)
         is_byte = np.zeros(len(c.raw), bool)
         is_byte[c.byte_ids] = True
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                packed, rows = [], []
-                for text in batch.column("text").to_pylist():
-                    data = c.encode(text)
-                    ids = np.frombuffer(data, "<u4")
-                    packed.append(ids)
-                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(data), c.decode(ids) == (text or "")))
-                columns = [batch.column(f.name) for f in carried]
-                if with_ids:
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in packed]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*packed, np.empty(0, "<u4")]).astype(np.int32))))
-                n, b, crc, exact = zip(*rows, strict=True) if rows else ([], [], [], [])
-                columns += [pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        for batch in slices(batches):
+            packed, rows = [], []
+            for text in batch.column("text").to_pylist():
+                data = c.encode(text)
+                ids = np.frombuffer(data, "<u4")
+                packed.append(ids)
+                rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(data), c.decode(ids) == (text or "")))
+            columns = [batch.column(f.name) for f in carried]
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in packed]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*packed, np.empty(0, "<u4")]).astype(np.int32))))
+            n, b, crc, exact = zip(*rows, strict=True)
+            columns += [pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.select("text", *[f.name for f in carried]).mapInArrow(run, schema)
 

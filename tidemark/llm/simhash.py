@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import documents, durable, slices
 
 BUDGET = 3
 SEGMENTS = 4
@@ -63,7 +63,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
@@ -141,6 +141,8 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links among distinct fingerprints (column fp) that connect all within BUDGET bits."""
+    if bucket < 1 << SEGMENTS:
+        raise ValueError(f"bucket must be {1 << SEGMENTS} or more: with fewer free bits than segments nothing is left to split")
     rows = nodes.select(F.lit(0).cast("long").alias("fixed"), "fp")
     found = None
     while True:
@@ -209,7 +211,7 @@ def _nameless(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """Of the rows without doc_id one for each of the fingerprints in roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield batch.append_column("_fp", pa.array(prints))
 
