@@ -146,3 +146,18 @@ def test_written_shards_hold_all_rows(spark, tricky, tmp_path):
     sharding.write_shards(tricky, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == tricky.count() and set(tricky.columns) <= set(back.columns)
+
+
+def test_shards_query_writes_and_reads_whole_records(spark, tricky, tmp_path):
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    df = tricky.select("doc_id", "text").unionByName(hot).unionByName(spark.range(1000).select((F.col("id") + 100).alias("doc_id"), F.col("id").cast("string").alias("text")))
+    key = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    plan = sharding.plan_shards(df.withColumns(sharding.record_columns(F.col("text"))).select(*key[:3]), sharding.SHARDS)
+    df.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.op9_shards(spark, str(tmp_path))
+    assert Counter(map(tuple, rows.select(*key).collect())) == Counter(map(tuple, plan.select(*key).collect()))
+    assert {f.split("/shard=")[0].rsplit("/", 1)[1][:7] for f in rows.inputFiles()} == {"shards-"}
+    back = spark.read.parquet(rows.inputFiles()[0].split("/shard=")[0])
+    assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, df.collect()))
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert sharding.op9_shards(spark, str(tmp_path / "none")).count() == 0

@@ -6,10 +6,10 @@ all rows; position p goes to shard p mod n at slot p div n, so that counts diffe
 one at most (law "rows") and slots have no gap.
 
 Rows are scattered by (doc_id, size, crc, occurrence): equal rows are first counted
-together (partial sums on the map side, so a hot key costs one row per task) and then
-numbered, hence even a key with a third of all rows spreads over all buckets. A bucket
-holds about BUCKET_ROWS digest rows whatever the input's size; their texts stay where
-they are until write_shards() joins the plan back.
+together (partial sums on the map side, so a hot key costs a row per task and salt) and then
+numbered in salted chunks, hence even a key with a third of all rows spreads over all buckets. A bucket
+holds about BUCKET_ROWS rows whatever the input's size. write_shards() moves whole rows and
+writes them; plan_shards() gives the same places for digest rows alone.
 
 Edge cases: null text has 8 bytes and crc 0; null doc_ids are ordinary keys; repeated
 rows get a place each; extra columns are carried by write_shards() alone and may bear
@@ -21,11 +21,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, durable
+from .simple8b import shared_path
 
 SHARDS = 24
 BUCKET_ROWS = 96
+#: Copies or buckets that are counted off at once, and salts of a key.
+BLOCK = 4096
 SEED = 20_240_611
 #: Bytes beside the text that a record takes in a shard file.
 HEADER = 8
@@ -53,49 +57,89 @@ def fisher_yates(rows: Column, draw) -> Column:
     return F.when(F.size(rows) > 0, F.aggregate(F.sequence(F.lit(1), F.size(rows)), start, step, lambda a: a["out"])).otherwise(rows)
 
 
-def plan_shards(records: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, occurrence, shard, slot) for records of the first three columns."""
-    counted = durable(records.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
-    total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    block = 4096
-    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / block)))
-    each = (
+def _each(counted: DataFrame) -> DataFrame:
+    """A row per copy of counted (doc_id, size, text_crc32, copies), numbered by occurrence, blocks of copies apart."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK)))
+    return (
         counted.select("doc_id", "size", "text_crc32", "copies", chunks.alias("chunk"))
-        .withColumn("occurrence", F.explode(F.sequence(F.col("chunk") * block, F.least(F.col("copies"), (F.col("chunk") + 1) * block) - 1)))
+        .withColumn("occurrence", F.explode(F.sequence(F.col("chunk") * BLOCK, F.least(F.col("copies"), (F.col("chunk") + 1) * BLOCK) - 1)))
         .drop("copies", "chunk")
     )
-    key = F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "occurrence")
-    row = F.struct(key.alias("key"), "doc_id", "size", "text_crc32", "occurrence")
-    scattered = each.groupBy(F.pmod(key, F.lit(buckets)).alias("bucket")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    draw = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("bucket"), k), 11).cast("double") * F.lit(2.0**-53)
-    shuffled = durable(scattered.select("bucket", fisher_yates(F.col("rows"), draw).alias("rows")))
-    # where each bucket begins: sums within groups of buckets, then over groups
-    group = F.floor(F.col("bucket") / block)
-    sizes = shuffled.select("bucket", F.size("rows").cast("long").alias("n"), group.alias("g"))
+
+
+def _buckets(counted: DataFrame) -> Column:
+    return F.lit(max(1, -(-counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"] // BUCKET_ROWS)))
+
+
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "occurrence")
+
+
+def _draw(seed: int):
+    return lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("bucket"), k), 11).cast("double") * F.lit(2.0**-53)
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(bucket, n, start) for (bucket, n): sums within groups of buckets, then over groups."""
+    sizes = sizes.select("bucket", "n", F.floor(F.col("bucket") / BLOCK).alias("g"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     groups = sizes.groupBy("g").agg(F.sum("n").alias("n")).select("g", before(Window.orderBy("g")).alias("g_start"))
-    starts = sizes.withColumn("b_start", before(Window.partitionBy("g").orderBy("bucket"))).join(groups, "g").select("bucket", (F.col("g_start") + F.col("b_start")).alias("start"))
+    return sizes.withColumn("b_start", before(Window.partitionBy("g").orderBy("bucket"))).join(groups, "g").select("bucket", "n", (F.col("g_start") + F.col("b_start")).alias("start"))
+
+
+def _place(position: Column, shards: int) -> list[Column]:
+    return [F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.floor(position / shards).alias("slot")]
+
+
+def plan_shards(records: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, text_crc32, occurrence, shard, slot) for records of the first three columns."""
+    counted = durable(records.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
+    key = _key(seed)
+    row = F.struct(key.alias("key"), "doc_id", "size", "text_crc32", "occurrence")
+    scattered = _each(counted).groupBy(F.pmod(key, _buckets(counted)).alias("bucket")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    shuffled = durable(scattered.select("bucket", fisher_yates(F.col("rows"), _draw(seed)).alias("rows")))
+    starts = _starts(shuffled.select("bucket", F.size("rows").cast("long").alias("n"))).drop("n")
     placed = shuffled.join(starts, "bucket").select("start", F.posexplode("rows").alias("i", "r"))
-    position = F.col("start") + F.col("i")
-    return placed.select("r.doc_id", "r.size", "r.text_crc32", "r.occurrence", F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.floor(position / shards).alias("slot"))
+    return placed.select("r.doc_id", "r.size", "r.text_crc32", "r.occurrence", *_place(F.col("start") + F.col("i"), shards))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, text: str = "text") -> None:
-    """docs in shards: one folder per shard, rows in slot order within its file.
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, text: str = "text", stored: bool = False) -> None:
+    """docs in shards: a folder per shard, the rows of each file in slot order; places are those of plan_shards().
 
-    The plan joins back on its key; occurrence numbers repeated rows.
+    Whole rows are scattered into buckets, shuffled there and written. Copies are numbered within
+    salted chunks of their key, after the copies of the chunks before, so that no task gets all
+    copies of a key. Rows must bear the same salt in both readings: stored says that docs is a
+    plain reading of files; all else is written once before.
     """
-    named = docs.withColumns(record_columns(F.col(text)))
-    plan = plan_shards(named.select("doc_id", "size", "text_crc32"), shards, seed)
-    key = ["doc_id", "size", "text_crc32"]
-    numbered = named.withColumn("occurrence", (F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1).cast("long"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*key, "occurrence"]]
-    joined = numbered.alias("d").join(plan.alias("p"), same).select(*[F.col(f"d.{c}") for c in docs.columns], "p.shard", "p.slot")
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if not stored:
+        copy = shared_path(docs.sparkSession, "records")
+        docs.write.parquet(copy)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(copy)
+    k = F.struct(F.col("doc_id").alias("doc_id"), *[c.alias(name) for name, c in record_columns(F.col(text)).items()])  # as a struct null ids are equal
+    salt = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(BLOCK))
+    rows = docs.select(k.alias("k"), salt.alias("salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    chunks = durable(rows.groupBy("k", "salt").agg(F.count("*").alias("copies")))
+    counted = durable(chunks.groupBy("k").agg(F.sum("copies").alias("copies")))
+    earlier = F.sum("copies").over(Window.partitionBy("k").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = chunks.select("k", "salt", earlier.alias("offset")).where("offset > 0")
+    bucket = F.pmod(_key(seed), _buckets(counted)).alias("bucket")
+    starts = _starts(_each(counted.select("k.*", "copies")).groupBy(bucket).agg(F.count("*").alias("n")))
+    orders = durable(starts.select("bucket", "start", fisher_yates(F.sequence(F.lit(1), F.col("n").cast("int")), _draw(seed)).alias("order")))
+    # texts move twice: by key and salt to be numbered, by bucket to be shuffled
+    within = F.row_number().over(Window.partitionBy("k", "salt").orderBy(F.lit(0))) - 1
+    numbered = rows.withColumn("within", within).join(offsets, ["k", "salt"], "left").select("k.*", "row", (F.coalesce("offset", F.lit(0).cast("long")) + F.col("within")).alias("occurrence"))
+    sorted_rows = Window.partitionBy("bucket").orderBy("key", "doc_id", "size", "text_crc32", "occurrence")
+    scattered = numbered.select(bucket, _key(seed).alias("key"), "doc_id", "size", "text_crc32", "occurrence", "row").withColumn("i", F.row_number().over(sorted_rows))
+    position = F.col("start") + F.array_position("order", F.col("i")) - 1
+    placed = scattered.join(orders, "bucket").select("row.*", *_place(position, shards))
+    written = placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard")
+    written.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = documents(spark, sf_dir).select("doc_id", "text").withColumns(record_columns(F.col("text"))).select("doc_id", "size", "text_crc32")
-    plan = plan_shards(records)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The places of the records as their written shards have them."""
+    docs, path = documents(spark, sf_dir), shared_path(spark, "shards")
+    write_shards(docs, path, stored=True)
+    schema = T.StructType([*docs.schema, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    written = spark.read.schema(schema).parquet(path).withColumns(record_columns(F.col("text")))
+    return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
