@@ -160,6 +160,16 @@ def test_redaction(spark, tricky, nothing):
     assert secret_scan.redact(nothing).count() == 0
 
 
+def test_long_random_strings_are_novel():
+    rng = np.random.default_rng(5)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for alphabet in ("0123456789ABCDEF", b64[:26] + b64[52:62], b64[26:62], b64[:62], b64):
+        for n in (40, 63, 64, 72, 128, 500, 3000):
+            word = "Z9" + "".join(rng.choice(list(alphabet), n - 2))
+            assert (22, 3, 22 + n) in secret_scan.scan(f"Authorization: Bearer {word}"), (alphabet, n)
+    assert secret_scan.scan("Bearer " + "Ab1" * 300) == []
+
+
 # --- token ids -----------------------------------------------------------------------------
 
 

@@ -4,8 +4,8 @@ Three patterns give base spans (assign, access, hex). The method adds spans of k
 "novel": a candidate is a run of key characters in a sensitive context (a cue word shortly before it).
 A compressor primed with the text around the candidate, other occurrences of it removed, and with
 a dictionary of common code identifiers packs it; the bytes beyond those of an empty
-frame are its marginal cost. What neither its surroundings nor ordinary code helps to compress
-(marginal bytes per byte at NOVELTY or more) is reported.
+frame are its marginal cost. Long candidates are measured in windows. What neither its surroundings nor
+ordinary code helps to compress (marginal bytes per byte of a window at NOVELTY or more) is reported.
 
 Rows are scanned one Arrow batch at a time on the executors, each text whole and alone:
 no shuffle and no state between rows. Edge cases: null text is empty and has no spans;
@@ -41,6 +41,8 @@ _CUES = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|signatu
 CONTEXT = 48
 #: Characters around a candidate that prime the compressor.
 AROUND = 2048
+#: Most characters of a candidate that are measured at once; zstandard entropy-codes literals from 64 bytes.
+WINDOW = 48
 #: Marginal compressed bytes per byte from which a candidate is incompressible.
 NOVELTY = 0.85
 # Identifiers and literals of ordinary code that are no secrets.
@@ -69,19 +71,34 @@ def base_spans(text: str) -> list[_Span]:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes per byte of text[start:end] given its surroundings."""
-    word = text[start:end]
-    around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).replace(word, "")
-    prime = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=prime, write_checksum=False, write_content_size=False)
-    raw = word.encode()
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    """Most marginal compressed bytes per byte of a window of text[start:end], given what surrounds the window.
+
+    Windows are too short for the compressor to entropy-code their literals, which would
+    make long random strings of a small alphabet look compressible.
+    """
+    word, best = text[start:end], 0.0
+    before, after = text[max(0, start - AROUND) : start].replace(word, ""), text[end : end + AROUND].replace(word, "")
+    count = -(-len(word) // WINDOW)
+    for i in range(count):
+        at, to = i * len(word) // count, (i + 1) * len(word) // count
+        around = (before + " " + word[max(0, at - AROUND) : at])[-AROUND:] + " " + after
+        prime = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=9, dict_data=prime, write_checksum=False, write_content_size=False)
+        raw = word[at:to].encode()
+        best = max(best, (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw))
+        if best >= NOVELTY:
+            break
+    return best
+
+
+def _known(text: str, start: int, end: int, spans: list[_Span]) -> bool:
+    """Whether base spans already say what text[start:end] is: an assignment there, or a span that covers it, but for a name before "="."""
+    return any(s < end and start < e and (k == 0 or (e >= end and (s <= start or text[s - 1] == "="))) for s, k, e in spans)
 
 
 def scan(text: str) -> list[_Span]:
     """All spans of a text, by start, then kind."""
-    found = base_spans(text)
-    taken, seen = [(s, e) for s, _, e in found], set()
+    base, found, seen = base_spans(text), [], set()
     for cue in _CUES.finditer(text):
         limit = cue.end() + CONTEXT
         line_end = text.find("\n", cue.end(), limit)
@@ -91,11 +108,10 @@ def scan(text: str) -> list[_Span]:
             m = _CANDIDATE.match(text, at.start())  # whole, also past the limit
             if m.span() not in seen:
                 seen.add(m.span())
-                if _MIXED.search(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken) and novelty(text, *m.span()) >= NOVELTY:
+                if _MIXED.search(m[0]) and not _known(text, *m.span(), base) and novelty(text, *m.span()) >= NOVELTY:
                     found.append((m.start(), 3, m.end()))
-                    taken.append(m.span())
             at = _CANDIDATE.search(text, m.end(), limit + 16)
-    return sorted(found)
+    return sorted(base + found)
 
 
 def _joined(spans: list[_Span]) -> str:
