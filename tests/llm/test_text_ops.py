@@ -170,6 +170,20 @@ def test_long_random_strings_are_novel():
     assert secret_scan.scan("Bearer " + "Ab1" * 300) == []
 
 
+def test_context_spans_lines_and_both_sides():
+    rng = np.random.default_rng(6)
+    make = lambda n: "Z9a" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n - 3))
+    reported = lambda text: [text[s:e] for s, k, e in secret_scan.scan(text) if k == 3]
+    lines = [make(64), make(64), make(9) + "=="]
+    for name in ("PRIVATE KEY", "CERTIFICATE"):
+        assert reported(f"see\n-----BEGIN {name}-----\n" + "\n".join(lines) + f"\n-----END {name}-----\nend") == lines
+    word = make(30)
+    for text in (f"private_key:\n  {word}\n", "auth " + "and so on " * 400 + word, f"{word} is what the\nnew credential is", f"signing_key={word}"):
+        assert reported(text) == [word], text
+    text = f"{word} is our auth {word} again"
+    assert word not in secret_scan.mask(text, secret_scan.with_copies(text, secret_scan.scan(text)))
+
+
 # --- token ids -----------------------------------------------------------------------------
 
 

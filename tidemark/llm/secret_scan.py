@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 Three patterns give base spans (assign, access, hex). The method adds spans of kind
-"novel": a candidate is a run of key characters in a sensitive context (a cue word shortly before it).
+"novel": a candidate is a run of key characters in a sensitive context: a cue word anywhere
+in the text, on either side, whatever lines are between, or a PEM block around it.
 A compressor primed with the text around the candidate, other occurrences of it removed, and with
 a dictionary of common code identifiers packs it; the bytes beyond those of an empty
 frame are its marginal cost. Long candidates are measured in windows. What neither its surroundings nor
@@ -37,8 +38,10 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Letters next to digits or lower case before upper case: random strings nearly always, words hardly ever.
 _MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]")
 _CUES = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|signature|session|access", re.ASCII | re.IGNORECASE)
-#: Characters before a candidate, on its line, in which a cue makes the context sensitive.
-CONTEXT = 48
+_PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?")
+#: A PEM block and the body of it; one that is cut short goes on to the end.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(.*?)(?:-----END \1-----|\Z)", re.DOTALL)
+_PEM_LINE = re.compile(r"^[\x20\t>]*([A-Za-z0-9+/]+={0,2})[\x20\t\r]*$", re.MULTILINE)
 #: Characters around a candidate that prime the compressor.
 AROUND = 2048
 #: Most characters of a candidate that are measured at once; zstandard entropy-codes literals from 64 bytes.
@@ -96,24 +99,54 @@ def _known(text: str, start: int, end: int, spans: list[_Span]) -> bool:
     return any(s < end and start < e and (k == 0 or (e >= end and (s <= start or text[s - 1] == "="))) for s, k, e in spans)
 
 
+def _runs(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, in a PEM block) of each candidate run: all of the text, parts around "=" apart, in order."""
+    blocks = [m.span(2) for m in _PEM.finditer(text)] if "-----BEGIN " in text else []
+    found = [(s + m.start(1), s + m.end(1)) for s, e in blocks for m in _PEM_LINE.finditer(text[s:e]) if len(m[1]) < 16]
+    for m in _CANDIDATE.finditer(text):
+        parts = [x.span() for x in _PART.finditer(text, *m.span()) if len(x[0]) >= 16]
+        found += parts or [m.span()]
+    found.sort()
+    out, k = [], 0
+    for start, end in found:
+        while k < len(blocks) and blocks[k][1] <= start:
+            k += 1
+        out.append((start, end, k < len(blocks) and blocks[k][0] < end))
+    return out
+
+
 def scan(text: str) -> list[_Span]:
-    """All spans of a text, by start, then kind."""
-    base, found, seen = base_spans(text), [], set()
-    for cue in _CUES.finditer(text):
-        limit = cue.end() + CONTEXT
-        line_end = text.find("\n", cue.end(), limit)
-        limit = limit if line_end < 0 else line_end
-        at = _CANDIDATE.search(text, cue.end(), limit + 16)
-        while at and at.start() < limit:
-            m = _CANDIDATE.match(text, at.start())  # whole, also past the limit
-            if m.span() not in seen:
-                seen.add(m.span())
-                if _MIXED.search(m[0]) and not _known(text, *m.span(), base) and novelty(text, *m.span()) >= NOVELTY:
-                    found.append((m.start(), 3, m.end()))
-            at = _CANDIDATE.search(text, m.end(), limit + 16)
+    """All spans of a text, by start, then kind.
+
+    A string that stands both behind and only in front of cues is reported behind them; redact() masks its copies too.
+    """
+    base = base_spans(text)
+    runs = _runs(text)
+    cues = [m.span() for m in _CUES.finditer(text)] if runs else []
+    found, words, ahead, near, k = [], set(), [], [], 0
+    for start, end, pem in runs:
+        while k < len(base) and base[k][0] < end:
+            near.append(base[k])
+            k += 1
+        near = [x for x in near if x[2] > start]
+        if not (pem or cues and _MIXED.search(text, start, end)) or _known(text, start, end, near):
+            continue
+        if pem or cues[0][0] < end:
+            if novelty(text, start, end) >= NOVELTY:
+                found.append((start, 3, end))
+                words.add(text[start:end])
+        else:
+            ahead.append((start, end))
+    found += [(s, 3, e) for s, e in ahead if text[s:e] not in words and novelty(text, s, e) >= NOVELTY]
     return sorted(base + found)
 
 
+def with_copies(text: str, spans: list[_Span]) -> list[_Span]:
+    """spans and the other occurrences of their novel strings of 16 or more characters."""
+    words = {text[s:e] for s, k, e in spans if k == 3 and e - s >= 16}
+    return sorted({*spans, *((s, 3, e) for s, e, _ in _runs(text) if text[s:e] in words)}) if words else spans
+
+
 def _joined(spans: list[_Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -157,7 +190,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             i = batch.schema.get_field_index("text")
-            texts = [mask(t, scan(t or "")) for t in batch.column(i).to_pylist()]
+            texts = [mask(t, with_copies(t or "", scan(t or ""))) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
     out = docs.mapInArrow(run, docs.schema)
