@@ -319,6 +319,16 @@ def test_one_row_of_each_component_stays(spark, tricky, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def test_repeated_ids_lose_no_component(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60))
+    many, one, other = [text() for _ in range(5)], text(), text()
+    rows = [(7, t) for t in many] + [(7, many[0]), (3, one), (8, one), (8, other), (9, other), (None, text()), (None, text())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([*((7, t) for t in many), (3, one), (8, other), *rows[-2:]], key=str)
+
+
 # --- language ------------------------------------------------------------------------------
 
 

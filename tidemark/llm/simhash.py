@@ -192,23 +192,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of docs: that of the least doc_id, which is the component's id.
+    """One row of each component (root) of docs: one with the component's id and, of those, the least fingerprint.
 
-    Of several rows with that id one stays, any: of rows that are wholly equal this makes no difference.
-    Components all of whose ids are null keep one row too.
+    Where an id stands on several rows, or is null, fingerprints tell them apart. Of several rows
+    equal in id and fingerprint one stays, any.
     """
     found = durable(near_duplicates(docs.select("doc_id", "text")))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    once = docs.alias("d").join(chosen.where((F.col("n") == 1) & F.col("doc_id").isNotNull()).alias("k"), same, "left_semi")
-    again = docs.alias("d").join(chosen.where((F.col("n") > 1) & F.col("doc_id").isNotNull()).alias("k"), same, "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    roots = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
-    return once.unionByName(again).unionByName(_nameless(nameless, roots))
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = durable(own.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
+    rows = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = durable(chosen.select("doc_id").distinct().join(rows, "doc_id"))
+    once = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
+    again = docs.join(ids.where("n > 1"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return once.select(*_named(docs)).unionByName(_by_print(again.select(*_named(docs)), chosen))
 
 
-def _nameless(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the rows without doc_id one for each of the fingerprints in roots."""
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _by_print(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, fp) of chosen that is found there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -216,8 +220,9 @@ def _nameless(docs: DataFrame, roots: DataFrame) -> DataFrame:
             yield batch.append_column("_fp", pa.array(prints))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _fp long"
-    printed = docs.mapInArrow(run, schema)
-    return printed.join(roots.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
+    printed = docs.mapInArrow(run, schema).dropDuplicates(["doc_id", "_fp"])
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._fp") == F.col("k.fp"))
+    return printed.alias("d").join(chosen.alias("k"), same, "left_semi").select(*_named(docs))
 
 
 def hex_of(fp: Column) -> Column:
