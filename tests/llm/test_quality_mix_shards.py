@@ -161,3 +161,24 @@ def test_shards_query_writes_and_reads_whole_records(spark, tricky, tmp_path):
     assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, df.collect()))
     df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert sharding.op9_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tied_sources_get_their_targets(spark):
+    rows = spark.createDataFrame([(s, k, n) for k, (s, n) in enumerate([("a", 100), ("b", 200), ("c", 300)])], "source string, doc_id long, size long")
+    got = mixing.mix_copies(rows).collect()
+    assert {r.source: round(r.target, 6) for r in got} == {"a": 100.0, "b": 200.0, "c": 300.0} == targets({"a": 100, "b": 200, "c": 300})
+    assert {r.copies for r in got} == {1}
+
+
+def test_repeated_and_null_ids_meet_the_target(spark):
+    text = F.concat_ws(" ", F.lit("a b c d"), F.col("id").cast("string"))
+    make = lambda source, doc_id, n: spark.range(n).select(F.lit(source).alias("source"), F.lit(doc_id).cast("long").alias("doc_id"), text.alias("text"))
+    df = make("s", None, 300).unionByName(make("t", 7, 200)).unionByName(make("u", 8, 100))
+    rows = mixing.mix_copies(mixing.sized(df)).collect()
+    taken, want = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.copies * r["size"]
+        want[r.source] = r.target
+    assert all(abs(taken[s] - want[s]) <= 2.5 + 1e-6 for s in want)
+    out = Counter(r.source for r in mixing.apply_mix(df).collect())
+    assert {s: 5 * n for s, n in out.items()} == dict(taken)

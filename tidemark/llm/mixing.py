@@ -9,8 +9,8 @@ BLOCK documents by seeded hash; their residuals meet in the next level of a redu
 tree with the same fan-in, until one residual per source is left, which is rounded to the nearer side: a
 source's words differ from its target by half a document at most.
 
-A unit is all rows with the same (source, doc_id): repeated rows share one decision,
-and rows with a null doc_id are one unit of their source. Edge cases: null text has
+A unit is all rows with the same (source, doc_id, text digest): rows equal in these share one
+decision; other texts under a repeated or null doc_id are units of their own. Edge cases: null text has
 size 0; null source is a source of its own, last in order; sizes of zero take nothing;
 extra columns pass through apply_mix() unless they bear the name of a result
 column, which replaces them; an empty table gives an empty result. Decisions depend on
@@ -49,8 +49,9 @@ def source_targets(rows: DataFrame) -> DataFrame:
     levels = (
         weighted.withColumn("total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(up_to), F.lit(0.0))) / F.sum("weight").over(after))
+        .withColumn("place", F.row_number().over(ratio))
         .withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-        .withColumn("final", F.coalesce(F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "level"))).over(everything)["level"], F.lit(0.0)))
+        .withColumn("final", F.coalesce(F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(everything)["level"], F.lit(0.0)))
     )
     return levels.select("source", "source_size", "n_rows", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
 
@@ -97,10 +98,10 @@ def round_fractions(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> D
     return found.unionByName(last)
 
 
-def mix_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, size, source_size, target, copies), a row per row of rows (source, doc_id, size)."""
+def _unit_copies(rows: DataFrame, seed: int) -> DataFrame:
+    """mix_copies() of rows with a digest, which tells apart the texts of repeated and null ids."""
     targets = durable(source_targets(rows))
-    units = rows.groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
+    units = rows.groupBy("source", F.struct("doc_id", "digest").alias("id")).agg(F.sum("size").alias("size"))
     per_source = units.groupBy("source").agg(F.count("*").alias("n"))
     same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     rates = targets.alias("t").join(per_source.alias("u"), same("t", "u", "source")).select("t.*", "u.n").withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0)))
@@ -109,23 +110,27 @@ def mix_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
         units.alias("u")
         .join(rates.alias("r"), same("u", "r", "source"))
         .where((F.col("u.size") > 0) & (F.col("r.part") > 0))
-        .select("u.source", F.col("u.doc_id").alias("id"), (F.col("r.part") * F.col("u.size")).alias("mass"), F.col("u.size").cast("double").alias("size"), "r.n")
+        .select("u.source", "u.id", (F.col("r.part") * F.col("u.size")).alias("mass"), F.col("u.size").cast("double").alias("size"), "r.n")
     )
-    takes = round_fractions(open_units, seed)
-    on_id = [F.col("d.source").eqNullSafe(F.col("k.source")), F.col("d.doc_id").eqNullSafe(F.col("k.id"))]
-    joined = rows.alias("d").join(takes.alias("k"), on_id, "left").select("d.*", F.coalesce("k.take", F.lit(0)).alias("take"))
-    return joined.alias("d").join(rates.alias("r"), same("d", "r", "source")).select("d.source", "d.doc_id", "d.size", "r.source_size", "r.target", (F.col("r.whole") + F.col("d.take")).alias("copies"))
+    takes = round_fractions(open_units, seed).select("source", "id.doc_id", "id.digest", "take")
+    joined = rows.alias("d").join(takes.alias("k"), same("d", "k", "source", "doc_id", "digest"), "left").select("d.*", F.coalesce("k.take", F.lit(0)).alias("take"))
+    return joined.alias("d").join(rates.alias("r"), same("d", "r", "source")).select("d.source", "d.doc_id", "d.digest", "d.size", "r.source_size", "r.target", (F.col("r.whole") + F.col("d.take")).alias("copies"))
+
+
+def mix_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, doc_id, size, source_size, target, copies), a row per row of rows (source, doc_id, size and, if ids repeat, digest)."""
+    return _unit_copies(rows if "digest" in rows.columns else rows.withColumn("digest", F.col("size")), seed).drop("digest")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     """The digest rows that mixing works on, written once so that each text is read once."""
-    return durable(docs.select("source", "doc_id", word_count(F.col(text)).alias("size")))
+    return durable(docs.select("source", "doc_id", word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("digest")))
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    copies = mix_copies(sized(docs), seed).groupBy("source", "doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    on = [F.col("d.source").eqNullSafe(F.col("m.source")), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))]
+    copies = _unit_copies(sized(docs), seed).groupBy("source", "doc_id", "digest").agg(F.max("copies").alias("copies")).where("copies > 0")
+    on = [F.col("d.source").eqNullSafe(F.col("m.source")), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), F.xxhash64("d.text") == F.col("m.digest")]
     return docs.alias("d").join(copies.alias("m"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m.copies")))).select("d.*")
 
 
