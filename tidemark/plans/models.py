@@ -25,23 +25,23 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small boosted model fitted on the training entities, applied to the test entities."""
+    """The boosted model, in its published shape, fitted on the training entities, applied to the test entities."""
     train, test = _training(spark, sf_dir)
-    fitted = model.fit(train, _INPUTS, trees=5, depth=4)
+    fitted = model.fit(train, _INPUTS)
     return model.predict(fitted, test, 0.5).select("video_id", "frame_index", "label", "probability", "prediction")
 
 
 @query()
 def gbt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _training(spark, sf_dir)
-    scored = model.predict(model.fit(train, _INPUTS, trees=5, depth=4), test, 0.5)
+    scored = model.predict(model.fit(train, _INPUTS), test, 0.5)
     return evaluate.with_scores(evaluate.confusion(scored, "video_id"))
 
 
 @query()
 def gbt_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _training(spark, sf_dir)
-    return model.importances(spark, model.fit(train, _INPUTS, trees=5, depth=4), _INPUTS)
+    return model.importances(spark, model.fit(train, _INPUTS), _INPUTS)
 
 
 @query()
