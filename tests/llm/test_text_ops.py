@@ -201,8 +201,24 @@ def test_simple8b_round_trip_with_escapes():
 
 def test_units_join_to_whole_ids():
     e = bpe.UnitEncoder(bpe.default_path())
-    for text in texts(1500, 12, 9):
-        assert e.encode(text) == e.whole([text])[0], repr(text)
+    many = texts(1500, 12, 9)
+    for at_once in (50, 1 << 18):
+        got = [x for flat, counts in e.encode_many([None, *many], at_once) for x in np.split(flat, np.cumsum(counts))[:-1]]
+        assert len(got) == 1 + len(many) and not len(got[0])
+        for text, ids, want in zip(many, got[1:], e.whole(many), strict=True):
+            assert ids.tolist() == want.tolist(), repr(text)
+
+
+def test_a_hot_id_spreads_over_files(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(200)] + [(50, f"hot {k}") for k in range(150)] + [(None, "no id")] * 120
+    simple8b.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ids"), file_rows=40)
+    got = sorted(simple8b.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    key = lambda i: (i is not None, i or 0)
+    assert [key(r.doc_id) for r in got] == sorted(key(i) for i, _ in rows)
+    per_file = defaultdict(int)
+    for r in spark.read.parquet(str(tmp_path / "ids")).collect():
+        per_file[r.file] += len(simple8b.decode_block(bytes(r.data))[0])
+    assert max(per_file.values()) <= 2 * 80
 
 
 @pytest.mark.parametrize("which", ["tricky", "docs"])
@@ -213,7 +229,7 @@ def test_id_files(spark, request, tmp_path, which):
     simple8b.write_ids(df, path)
     got = simple8b.read_ids(spark, path).collect()
     key = lambda i: (i is not None, i or 0)  # noqa: E731  null ids come first
-    ids = lambda t: e.whole([t or ""])[0] + np.array([2], "<u4").tobytes()
+    ids = lambda t: e.whole([t or ""])[0].astype("<u4").tobytes() + np.array([2], "<u4").tobytes()
     want = sorted((*key(r.doc_id), len(ids(r.text)) // 4, zlib.crc32(ids(r.text))) for r in df.collect())
     have = sorted(((*key(r.doc_id), r.n_tokens, r.ids_crc32) for r in got))
     assert have == want

@@ -13,10 +13,12 @@ block as one binary row of a Parquet file, the container that every store offers
 to executors; the rows in order of (file, block) are the byte stream, which
 export_files() puts into plain files.
 
-Ranges come from quantiles of doc_id alone (at most MAX_FILES, so the bounds have a
-fixed size); texts are read once, and one exchange by range carries packed ids. Edge cases:
-null and empty texts hold the end id only; rows that share a doc_id keep all their
-entries, shorter first; extra columns are ignored; an empty table gives an empty result.
+Ranges come from counts of doc_id alone. There are as many files as documents need, with 8 bytes
+of bounds for each: FILE_ROWS is to grow with the corpus, say to 2**16 at 100 TB. Texts are read
+once, and one exchange, a partition per file, carries packed ids. The rows of a hot id are dealt over
+all files that it bounds. Edge cases: null and empty texts hold the end id only; rows that share a
+doc_id keep all their entries, in each file shorter first; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import documents
+from .common import documents, slices
 
 END_ID = 2
 # Fixed values: (values, bits) of selectors 1 to 14 of Simple-8b; selector 0 escapes.
@@ -41,13 +45,40 @@ WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 MAGIC = b"S8B1"
 _HEADER = struct.Struct("<4sIQQ")
 BLOCK_IDS = 1 << 16
-FILE_ROWS = 4096
-MAX_FILES = 4096
+FILE_ROWS = 8192
+#: Texts that are encoded at once.
+SLICE_ROWS = 10_000
+SLICE_BYTES = 1 << 25
+#: Stands for a null doc_id, which comes first.
+LOWEST = -(1 << 63)
 _PAD = WIDTHS[0][0]
-_CHUNK_IDS = 1 << 18
+_POWERS = np.uint64(1) << np.arange(61, dtype=np.uint64)
 _COUNTS = np.array([1, *(c for c, _ in WIDTHS)], np.int64)
 
 
+def _selectors(flat: np.ndarray) -> np.ndarray:
+    """For each position the first selector, from many values to few, whose width holds all values from there on; 0 escapes.
+
+    Widths grow as counts fall, so a selector that fits makes all after it fit, and failures count the selector.
+    """
+    width = np.searchsorted(_POWERS[: int(flat.max(initial=0)).bit_length() + 1], flat, side="right").astype(np.uint8)
+    # most[c]: greatest width within c values, beyond the end none; two overlapping windows make each longer one
+    most = {1: width}
+    for count in sorted(c for c, _ in WIDTHS if c > 1):
+        c = max(most)
+        while c < count:
+            grown = min(2 * c, count)
+            wider = most[c].copy()
+            np.maximum(wider[: c - grown or None], most[c][grown - c :], out=wider[: c - grown or None])
+            most[grown] = wider
+            c = grown
+    selector = np.ones(len(flat), np.uint8)
+    for count, bits in WIDTHS:
+        selector += most[count] > bits
+    selector[selector > len(WIDTHS)] = 0
+    return selector
+
+
 def pack_many(rows: list[np.ndarray]) -> list[np.ndarray]:
     """The words (uint64) of each array of values, all arrays in one vectorised pass."""
     n = np.array([len(r) for r in rows], np.int64)
@@ -55,16 +86,8 @@ def pack_many(rows: list[np.ndarray]) -> list[np.ndarray]:
     flat = np.zeros(int((n + _PAD).sum()), np.uint64)
     for b, r in zip(begin.tolist(), rows, strict=True):
         flat[b : b + len(r)] = r
-    size = len(flat)
-    # the first selector, from many values to few, whose width holds all values from here on
-    selector = np.zeros(size, np.uint8)
-    width = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), flat, side="right").astype(np.uint8)
-    over = np.zeros(size + 1 + _PAD, np.int32)
-    for k, (count, bits) in reversed(list(enumerate(WIDTHS, 1))):
-        np.cumsum(width > bits, dtype=np.int32, out=over[1 : size + 1])
-        over[size + 1 :] = over[size]
-        selector[over[count : count + size] == over[:size]] = k
-    step = _COUNTS[selector].tolist()
+    selector = _selectors(flat)
+    step = _COUNTS[selector].astype(np.uint8).tobytes()
     starts: list[int] = []
     ends = []
     for b, m in zip(begin.tolist(), n.tolist(), strict=True):
@@ -157,37 +180,52 @@ def decode_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [i if v else None for i, v in zip(ids.tolist(), valid.tolist(), strict=True)], counts, unpack_many(words, offsets, counts).astype("<u4")
 
 
-def _bounds(docs: DataFrame) -> list[int]:
-    """Upper doc_ids of all files but the last."""
-    n = docs.count()
-    files = max(1, min(MAX_FILES, -(-n // FILE_ROWS)))
-    if files == 1:
-        return []
-    return sorted({int(x) for x in docs.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.1 / files)})
+def _bounds(ids: DataFrame, file_rows: int) -> list[int]:
+    """Sorted doc_ids (null as LOWEST) that bound the files, file_rows rows apart or a little less; a hot id bounds several.
+
+    Ids are counted first, so that a hot one is one row; counts are then sorted by range and passed over once per range.
+    """
+    counts = ids.groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("i")).agg(F.count("*").alias("n"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            total = seen + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("i").to_numpy(), total // file_rows - (total - n) // file_rows))], ["i"])
+            seen = int(total[-1]) if len(total) else seen
+
+    return sorted(r["i"] for r in counts.repartitionByRange("i").sortWithinPartitions("i").mapInArrow(pick, "i long").collect())
 
 
 def _encode(path: str, bounds: list[int]):
-    upper = np.array(bounds, np.int64)
-    end = np.array([END_ID], "<u4").tobytes()
+    limits = np.array(bounds, np.int64)
+    end = np.array([END_ID], np.uint32)
 
-    def flush(ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
-        file = [0 if i is None else int(np.searchsorted(upper, i)) for i in ids]
-        packed = [w.astype("<u8").tobytes() for w in pack_many(rows)]
-        return pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(packed, pa.binary())], ["file", "doc_id", "n_tokens", "packed"])
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small batches, of one row if texts are long."""
+        for batch in slices(batches, SLICE_ROWS):  # many at once, as texts share words
+            reached = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(reached)) + 1):
+                yield batch.slice(part[0], len(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        ids, rows, held = [], [], 0
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids.append(i)
-                rows.append(np.frombuffer(encode(text) + end, "<u4"))
-                held += len(rows[-1]) + _PAD
-                if held > _CHUNK_IDS:
-                    yield flush(ids, rows)
-                    ids, rows, held = [], [], 0
-        if ids:
-            yield flush(ids, rows)
+        encode = encoder(path).encode_many
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        for batch in pieces(batches):
+            ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), LOWEST).to_numpy(zero_copy_only=False)
+            # rows of an id that bounds several files are dealt over these
+            first, last = np.searchsorted(limits, ids, "left"), np.searchsorted(limits, ids, "right")
+            file = first + (rng.random(len(ids)) * (last - first + 1)).astype(np.int64)
+            at = 0
+            for flat, counts in encode(batch.column("text").to_pylist()):
+                ends = np.cumsum(counts).tolist()
+                packed = pack_many([np.concatenate((flat[b - n : b], end)) for b, n in zip(ends, counts.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(file[at : at + len(ends)], pa.int32()), batch.column("doc_id").slice(at, len(ends)), pa.array(counts + 1), pa.array([w.astype("<u8").tobytes() for w in packed], pa.binary())],
+                    ["file", "doc_id", "n_tokens", "packed"],
+                )
+                at += len(ends)
 
     return run
 
@@ -214,12 +252,12 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """The token files of docs (doc_id, text) under path."""
-    bounds = _bounds(docs.select("doc_id"))
-    encoded = docs.select("doc_id", "text").mapInArrow(_encode(vocabulary or default_path(), bounds), "file int, doc_id long, n_tokens long, packed binary")
-    ranged = encoded.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n_tokens", "packed")
-    ranged.mapInArrow(_to_blocks, "file int, block int, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
+def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, file_rows: int = FILE_ROWS) -> None:
+    """The token files of docs (doc_id, text) under path, each of about file_rows documents and made by one task."""
+    bounds = _bounds(docs.select("doc_id"), file_rows)
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(vocabulary or default_path(), bounds), "file int, doc_id long, n_tokens long, packed binary")
+    filed = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n_tokens", "packed")
+    filed.mapInArrow(_to_blocks, "file int, block int, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,7 @@ class Counter:
             if len(known) + len(new) > 600_000:
                 known.clear()
                 new = list(set(pieces))
-            known.update(zip(new, [len(b) // 4 for b in self.encoder.many(new)], strict=True))
+            known.update(zip(new, self.encoder.units(pa.array(new, pa.string()))[2].tolist(), strict=True))
         return [known[p] for p in pieces]
 
 
