@@ -170,6 +170,33 @@ def test_long_random_strings_are_novel():
     assert secret_scan.scan("Bearer " + "Ab1" * 300) == []
 
 
+def test_novelty_decides_for_every_alphabet(spark):
+    rng, lower = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
+    prose = "the committee met again on the second day and the minutes were read "
+    alphabets = {"lower": lower, "upper": lower.upper(), "mixed": lower + lower.upper() + "0123456789", "base32": lower[:26] + "234567", "digits": "0123456789"}
+    rows = [(name, f"{prose} secret key {word} {prose}", word) for name, letters in alphabets.items() for n in (16, 20, 32, 64) for word in ["".join(rng.choices(letters, k=n)) for _ in range(25)]]
+    df = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    for name in alphabets:
+        own = [i for i, r in enumerate(rows) if r[0] == name]
+        start = lambda i: rows[i][1].index(rows[i][2])
+        hit = [any(x.endswith(f":{start(i)}:{start(i) + len(rows[i][2])}") for x in found[i].spans.split(",")) for i in own]
+        assert sum(hit) >= 0.9 * len(own), name
+        assert name == "digits" or sum(found[i].n_novel for i in own) >= 0.9 * len(own)
+    parts = secret_scan.measure(bpe.default_path()).parts[:1500]
+    names = ["".join(w.title() if k else w for k, w in enumerate(rng.sample(parts, rng.randint(3, 6)))) for _ in range(300)]
+    names += "thisIsCamelCaseIdentifier createUserSession2 HttpServletRequestWrapper2 MAX_CONNECTION_POOL_SIZE user_session_token_key".split()
+    reported = sum(any(k == 3 for _, k, _ in secret_scan.scan(f"the auth key of {n} in code")) for n in names)
+    assert reported < 0.05 * len(names)
+
+
+def test_scanning_is_linear_in_candidates():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)) for _ in range(3000)]
+    novel = sum(k == 3 for _, k, _ in secret_scan.scan("secret key " + " ".join(words)))
+    assert novel > 0.95 * len(words)
+
+
 def test_context_spans_lines_and_both_sides():
     rng = np.random.default_rng(6)
     make = lambda n: "Z9a" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n - 3))

@@ -3,10 +3,16 @@
 Three patterns give base spans (assign, access, hex). The method adds spans of kind
 "novel": a candidate is a run of key characters in a sensitive context: a cue word anywhere
 in the text, on either side, whatever lines are between, or a PEM block around it.
-A compressor primed with the text around the candidate, other occurrences of it removed, and with
-a dictionary of common code identifiers packs it; the bytes beyond those of an empty
-frame are its marginal cost. Long candidates are measured in windows. What neither its surroundings nor
-ordinary code helps to compress (marginal bytes per byte of a window at NOVELTY or more) is reported.
+A compressor primed with a dictionary of identifier parts and with the text around the candidate,
+other occurrences of it removed, packs it; the bytes beyond those of the frame without it
+are its marginal cost. Nothing but this cost decides: all letters, all digits and mixtures are
+judged alike, without regard to case. Costs are measured in windows that are too short for the compressor
+to entropy-code their literals. The limit for a window's length lies half way between what composed
+identifiers cost and what random letters cost, both drawn with a seed and measured by the same compressor.
+
+The identifier dictionary holds the most frequent letter pieces of a public vocabulary file, so
+it is the same for every corpus and needs no pass over it. Candidates that it explains
+are settled with the prepared dictionary alone; only the rest are primed with their surroundings too.
 
 Rows are scanned one Arrow batch at a time on the executors, each text whole and alone:
 no shuffle and no state between rows. Edge cases: null text is empty and has no spans;
@@ -18,14 +24,18 @@ Offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import hashlib
+import json
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import default_path
 from .common import documents, slices
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -35,8 +45,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 #: A maximal run of 16 or more is what the pattern [0-9a-f]+ leaves after short matches go.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Letters next to digits or lower case before upper case: random strings nearly always, words hardly ever.
-_MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]")
 _CUES = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|signature|session|access", re.ASCII | re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?")
 #: A PEM block and the body of it; one that is cut short goes on to the end.
@@ -44,19 +52,16 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(.*?)(?:-----END \1-----|\Z)", r
 _PEM_LINE = re.compile(r"^[\x20\t>]*([A-Za-z0-9+/]+={0,2})[\x20\t\r]*$", re.MULTILINE)
 #: Characters around a candidate that prime the compressor.
 AROUND = 2048
-#: Most characters of a candidate that are measured at once; zstandard entropy-codes literals from 64 bytes.
-WINDOW = 48
-#: Marginal compressed bytes per byte from which a candidate is incompressible.
-NOVELTY = 0.85
-# Identifiers and literals of ordinary code that are no secrets.
-IDENTIFIERS = (
-    "access_token refresh_token session_id client_id client_secret api_key public_key private_key secret_key authorization "
-    "authentication configuration application environment production development database username password credentials "
-    "example placeholder undefined function constructor prototype toString getElementById addEventListener createElement "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx "
-    "your_api_key_here changeme 1234567890 http https localhost import return self.assertEqual Exception java.lang.String "
-    "org.apache.commons com.example std::string unsigned int public static void main include stdio requirements version"
-)
+#: Most characters of a candidate that are measured at once.
+WINDOW = 30
+#: Bytes of the identifier dictionary.
+DICTIONARY = 1 << 15
+#: Level at which the compressor looks for the cheapest parse; with its strategy fixed it leaves under 32 literals as they are.
+LEVEL = 15
+#: Drawn strings of each kind and length that set a limit.
+DRAWN = 200
+#: Known to every dictionary and in front of every window, so that a frame is always a compressed one.
+_ANCHOR = bytes(range(128, 192))
 
 _Span = tuple[int, int, int]  # start, kind, end
 
@@ -73,25 +78,73 @@ def base_spans(text: str) -> list[_Span]:
     return sorted(found)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Most marginal compressed bytes per byte of a window of text[start:end], given what surrounds the window.
-
-    Windows are too short for the compressor to entropy-code their literals, which would
-    make long random strings of a small alphabet look compressible.
-    """
-    word, best = text[start:end], 0.0
-    before, after = text[max(0, start - AROUND) : start].replace(word, ""), text[end : end + AROUND].replace(word, "")
-    count = -(-len(word) // WINDOW)
-    for i in range(count):
-        at, to = i * len(word) // count, (i + 1) * len(word) // count
-        around = (before + " " + word[max(0, at - AROUND) : at])[-AROUND:] + " " + after
-        prime = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        packer = zstandard.ZstdCompressor(level=9, dict_data=prime, write_checksum=False, write_content_size=False)
-        raw = word[at:to].encode()
-        best = max(best, (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw))
-        if best >= NOVELTY:
-            break
-    return best
+class Novelty:
+    """Marginal compressed bytes of strings, primed with the identifier parts of a vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            ranks = json.load(f)["model"]["vocab"]
+        parts = dict.fromkeys(w.lower() for w in (t.lstrip("\u0120") for t in sorted(ranks, key=ranks.get)) if len(w) >= 4 and w.isascii() and w.isalpha())
+        self.parts, size = [], 0
+        for w in parts:
+            size += len(w) + 1
+            if size > DICTIONARY:
+                break
+            self.parts.append(w)
+        # the most frequent last: near matches are cheap
+        self.prime = " ".join(reversed(self.parts)).encode()
+        self.packer, self.frame = self._packer(self.prime)
+        self.limits: dict[int, float] = {}
+
+    @staticmethod
+    def _packer(prime: bytes, level: int = LEVEL) -> tuple[zstandard.ZstdCompressor, int]:
+        """A compressor primed with prime, and the bytes of its frame of the anchor alone."""
+        words = zstandard.ZstdCompressionDict(prime + _ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(level, source_size=len(_ANCHOR) + WINDOW, dict_size=len(prime) + len(_ANCHOR), strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False)
+        words.precompute_compress(compression_params=settings)
+        packer = zstandard.ZstdCompressor(dict_data=words, compression_params=settings)
+        return packer, len(packer.compress(_ANCHOR))
+
+    def cost(self, window: str, packer: zstandard.ZstdCompressor | None = None, frame: int = 0) -> float:
+        """Marginal bytes per byte of a window, by the identifier dictionary unless another packer is given."""
+        raw = window.lower().encode()
+        return (len((packer or self.packer).compress(_ANCHOR + raw)) - (frame if packer else self.frame)) / len(raw)
+
+    def limit(self, n: int) -> float:
+        """The cost from which a window of n characters is incompressible."""
+        if n not in self.limits:
+            rng = random.Random(n)
+            known, chance = [], []
+            for _ in range(DRAWN):
+                known.append(self.cost("".join(rng.choices(self.parts, k=1 + n // 4))[:n]))
+                chance.append(self.cost("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))))
+            known.sort()
+            chance.sort()
+            self.limits[n] = (known[DRAWN * 95 // 100] + chance[DRAWN // 20]) / 2
+        return self.limits[n]
+
+    def novel(self, text: str, start: int, end: int) -> bool:
+        """Whether neither identifiers nor its surroundings explain some window of text[start:end]."""
+        word = text[start:end]
+        count = -(-len(word) // WINDOW)
+        sides = None
+        for i in range(count):
+            at, to = i * len(word) // count, (i + 1) * len(word) // count
+            window = word[at:to]
+            if self.cost(window) < self.limit(to - at):
+                continue
+            if sides is None:
+                sides = [text[max(0, start - AROUND) : start].replace(word, ""), text[end : end + AROUND].replace(word, "")]
+            around = f"{sides[1]} {(sides[0] + ' ' + word[max(0, at - AROUND) : at])[-AROUND:]} "
+            if self.cost(window, *self._packer(self.prime[-DICTIONARY // 2 :] + around.lower().encode(errors="replace"))) >= self.limit(to - at):
+                return True
+        return False
+
+
+@cache
+def measure(path: str) -> Novelty:
+    """One measure per worker and vocabulary file."""
+    return Novelty(path)
 
 
 def _known(text: str, start: int, end: int, spans: list[_Span]) -> bool:
@@ -115,7 +168,7 @@ def _runs(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def scan(text: str) -> list[_Span]:
+def scan(text: str, vocabulary: str | None = None) -> list[_Span]:
     """All spans of a text, by start, then kind.
 
     A string that stands both behind and only in front of cues is reported behind them; redact() masks its copies too.
@@ -123,21 +176,22 @@ def scan(text: str) -> list[_Span]:
     base = base_spans(text)
     runs = _runs(text)
     cues = [m.span() for m in _CUES.finditer(text)] if runs else []
+    novel = measure(vocabulary or default_path()).novel
     found, words, ahead, near, k = [], set(), [], [], 0
     for start, end, pem in runs:
         while k < len(base) and base[k][0] < end:
             near.append(base[k])
             k += 1
         near = [x for x in near if x[2] > start]
-        if not (pem or cues and _MIXED.search(text, start, end)) or _known(text, start, end, near):
+        if not (pem or cues) or _known(text, start, end, near):
             continue
         if pem or cues[0][0] < end:
-            if novelty(text, start, end) >= NOVELTY:
+            if novel(text, start, end):
                 found.append((start, 3, end))
                 words.add(text[start:end])
         else:
             ahead.append((start, end))
-    found += [(s, 3, e) for s, e in ahead if text[s:e] not in words and novelty(text, s, e) >= NOVELTY]
+    found += [(s, 3, e) for s, e in ahead if text[s:e] not in words and novel(text, s, e)]
     return sorted(base + found)
 
 
