@@ -136,26 +136,60 @@ def test_shuffle_is_seeded_and_mixes(spark):
     assert sum(abs(a - b) for a, b in zip(order, order[1:])) / 499 > 100
 
 
+def fisher_yates(n, draw):
+    left, out = list(range(1, n + 1)), []
+    for k in range(1, n + 1):
+        at = int(draw(k) * len(left))
+        left[at], left[-1] = left[-1], left[at]
+        out.append(left.pop())
+    return out
+
+
 def test_fisher_yates_permutes(spark):
-    df = spark.createDataFrame([([1, 2, 3, 4],), ([],)], "a array<int>")
-    last = df.select(sharding.fisher_yates(F.col("a"), lambda k: F.lit(0.999)).alias("o")).collect()
-    assert [r.o for r in last] == [[4, 3, 2, 1], []]
+    df = spark.createDataFrame([(4,), (0,), (1,)], "n int")
+    run = lambda draw: [r.o for r in df.select(sharding.fisher_yates(F.col("n"), draw).alias("o")).collect()]
+    assert run(lambda k: F.lit(0.999)) == [[4, 3, 2, 1], [], [1]]
+    draw = lambda k: (k * 0.61803) % 1
+    df = spark.createDataFrame([(40,), (333,)], "n int")
+    assert run(draw) == [fisher_yates(n, draw) for n in (40, 333)]
+    assert df.select(sharding._inverse(F.array(*map(F.lit, (3, 1, 2)))).alias("o")).first().o == [2, 3, 1]
 
 
 def test_written_shards_hold_all_rows(spark, tricky, tmp_path):
     sharding.write_shards(tricky, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == tricky.count() and set(tricky.columns) <= set(back.columns)
+    clash = tricky.withColumns({c: F.lit("own") for c in ("size", "text_crc32", "occurrence", "bucket", "key", "row", "i", "start", "places", "n")})
+    sharding.write_shards(clash, str(tmp_path / "c"), 3)
+    back = spark.read.schema(clash.schema).parquet(str(tmp_path / "c"))
+    assert Counter(map(tuple, back.select(*clash.columns).collect())) == Counter(map(tuple, clash.collect()))
+    with pytest.raises(ValueError):
+        sharding.write_shards(tricky.withColumn("shard", F.lit(1)), str(tmp_path / "x"), 3)
+    sharding.write_shards(tricky.limit(0), str(tmp_path / "none"), 3)
+    assert spark.read.schema(tricky.schema).parquet(str(tmp_path / "none")).count() == 0
 
 
 def test_shards_query_writes_and_reads_whole_records(spark, tricky, tmp_path):
     hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
     df = tricky.select("doc_id", "text").unionByName(hot).unionByName(spark.range(1000).select((F.col("id") + 100).alias("doc_id"), F.col("id").cast("string").alias("text")))
-    key = ["doc_id", "size", "text_crc32", "shard", "slot"]
-    plan = sharding.plan_shards(df.withColumns(sharding.record_columns(F.col("text"))).select(*key[:3]), sharding.SHARDS)
     df.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     rows = sharding.op9_shards(spark, str(tmp_path))
-    assert Counter(map(tuple, rows.select(*key).collect())) == Counter(map(tuple, plan.select(*key).collect()))
+    got = Counter(map(tuple, rows.select("doc_id", "size", "text_crc32", "shard", "slot").collect()))
+    # by loops: buckets of hashed places, Fisher-Yates in each, one bucket after another
+    stored = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns(sharding.record_columns(F.col("text")))
+    hashed = stored.select("doc_id", "size", "text_crc32", sharding.place_key(sharding.SEED).alias("h")).collect()
+    buckets = defaultdict(list)
+    for r in hashed:
+        buckets[r.h % -(-len(hashed) // sharding.BUCKET_ROWS)].append(r)
+    draws = {(r.bucket, r.k): r.u for r in spark.createDataFrame([(b, k) for b, v in buckets.items() for k in range(1, len(v) + 1)], "bucket long, k int").select("bucket", "k", sharding._draw(sharding.SEED)(F.col("k")).alias("u")).collect()}
+    want, at = Counter(), 0
+    for b, v in sorted(buckets.items()):
+        v.sort(key=lambda r: r.h)
+        for p, i in enumerate(fisher_yates(len(v), lambda k: draws[b, k])):
+            r = v[i - 1]
+            want[r.doc_id, r["size"], r.text_crc32, (at + p) % sharding.SHARDS, (at + p) // sharding.SHARDS] += 1
+        at += len(v)
+    assert len(buckets) > 3 and got == want
     assert {f.split("/shard=")[0].rsplit("/", 1)[1][:7] for f in rows.inputFiles()} == {"shards-"}
     back = spark.read.parquet(rows.inputFiles()[0].split("/shard=")[0])
     assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, df.collect()))

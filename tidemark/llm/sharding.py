@@ -5,16 +5,17 @@ Fisher-Yates on each bucket. The shuffled buckets, one after another, are a perm
 all rows; position p goes to shard p mod n at slot p div n, so that counts differ by
 one at most (law "rows") and slots have no gap.
 
-Rows are scattered by (doc_id, size, crc, occurrence): equal rows are first counted
-together (partial sums on the map side, so a hot key costs a row per task and salt) and then
-numbered in salted chunks, hence even a key with a third of all rows spreads over all buckets. A bucket
-holds about BUCKET_ROWS rows whatever the input's size. write_shards() moves whole rows and
-writes them; plan_shards() gives the same places for digest rows alone.
+write_shards() scatters whole rows by a seeded hash of the place where they are stored (file name and
+row number), so texts move once, equal rows spread over all buckets, and what is planned before is read without
+texts. A bucket holds about BUCKET_ROWS rows whatever the input's size, a few MB of text. plan_shards() plans rows that
+are not stored, by (doc_id, size, crc, occurrence): equal rows are first counted together
+(partial sums on the map side, so a hot key costs a row per task and salt) and then numbered in salted
+chunks, hence even a key with a third of all rows spreads over all buckets.
 
 Edge cases: null text has 8 bytes and crc 0; null doc_ids are ordinary keys; repeated
-rows get a place each; extra columns are carried by write_shards() alone and may bear
-any name but those of the plan; an empty table gives an empty plan. The plan depends on
-rows, seed and shard count only, not on how the input is partitioned.
+rows get a place each; extra columns are carried by write_shards() and may bear any name but shard
+and slot, which raise ValueError; an empty table gives an empty plan and no shard. A plan depends on rows, seed and shard
+count only, not on how the input is partitioned; that of stored rows also on their files, not on where these lie.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable
+from .common import documents, durable, let
 from .simple8b import shared_path
 
 SHARDS = 24
-BUCKET_ROWS = 96
+BUCKET_ROWS = 1024
+#: Rows of the buckets that one task shuffles and writes.
+TASK_ROWS = 8192
 #: Copies or buckets that are counted off at once, and salts of a key.
 BLOCK = 4096
 SEED = 20_240_611
 #: Bytes beside the text that a record takes in a shard file.
 HEADER = 8
+_DRAWN_ID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 
 
 def record_columns(text: Column) -> dict[str, Column]:
@@ -40,21 +44,29 @@ def record_columns(text: Column) -> dict[str, Column]:
     return {"size": F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + HEADER, "text_crc32": F.crc32(raw)}
 
 
-def fisher_yates(rows: Column, draw) -> Column:
-    """The array permuted: draw(k, row) in [0, 1) picks the k-th row's successor in place.
+def fisher_yates(n: Column, draw) -> Column:
+    """A random permutation of 1 to n as an array of int: draw(k) in [0, 1) picks the k-th element among those left.
 
-    Rows already in random order are not needed: step k takes element floor(u * left) of
-    those left and puts it next, as the in-place algorithm does from the other end.
+    The picked element leaves the array, the last of those left takes its place, and it stands next in the result.
     """
-    start = F.struct(rows.alias("left"), F.slice(rows, 1, 0).alias("out"))
+    start = F.struct(F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("left"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, k: Column) -> Column:
-        n = F.size(a["left"])
-        at = F.least((draw(k) * n).cast("int"), n - 1)
-        rest = F.concat(F.slice(a["left"], 1, at), F.slice(a["left"], at + 2, F.greatest(n - at - 1, F.lit(0))))
-        return F.struct(rest.alias("left"), F.array_append(a["out"], F.get(a["left"], at)).alias("out"))
+        many = F.size(a["left"])
 
-    return F.when(F.size(rows) > 0, F.aggregate(F.sequence(F.lit(1), F.size(rows)), start, step, lambda a: a["out"])).otherwise(rows)
+        def pick(at: Column) -> Column:
+            # elements before the picked one, the last one in its place, elements behind it but the last
+            moved = F.concat(F.slice(a["left"], 1, at), F.slice(a["left"], -1, F.when(at < many - 1, 1).otherwise(0)), F.slice(a["left"], at + 2, F.greatest(many - at - 2, F.lit(0))))
+            return F.struct(moved.alias("left"), F.array_append(a["out"], F.get(a["left"], at)).alias("out"))
+
+        return let(F.least((draw(k) * many).cast("int"), many - 1), pick)
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+
+
+def _inverse(order: Column) -> Column:
+    """places[v] of each value v of a permutation of 1 to n, itself from 1."""
+    return F.transform(F.array_sort(F.transform(order, lambda v, i: F.struct(v.alias("v"), (i + 1).alias("i")))), lambda x: x["i"])
 
 
 def _each(counted: DataFrame) -> DataFrame:
@@ -67,8 +79,9 @@ def _each(counted: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(counted: DataFrame) -> Column:
-    return F.lit(max(1, -(-counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"] // BUCKET_ROWS)))
+def _bucket(key: Column, n: int) -> Column:
+    """The bucket, of as many as n rows need, that a hashed key falls into."""
+    return F.pmod(key, F.lit(max(1, -(-n // BUCKET_ROWS))))
 
 
 def _key(seed: int) -> Column:
@@ -91,47 +104,55 @@ def _place(position: Column, shards: int) -> list[Column]:
     return [F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.floor(position / shards).alias("slot")]
 
 
-def plan_shards(records: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def place_key(seed: int) -> Column:
+    """A hash of where a row is stored; file names without the ids that writers draw."""
+    return F.xxhash64(F.lit(seed), F.regexp_replace("_metadata.file_name", _DRAWN_ID, ""), "_metadata.row_index")
+
+
+def _tasks(n: int, task_rows: int) -> int:
+    return max(1, -(-n // task_rows))
+
+
+def _orders(sizes: DataFrame, seed: int, tasks: int) -> DataFrame:
+    """(bucket, start, places) for (bucket, n): row i of a bucket, in order of keys, goes to start + places[i]."""
+    return durable(_starts(sizes).repartition(tasks, "bucket").select("bucket", "start", _inverse(fisher_yates(F.col("n").cast("int"), _draw(seed))).alias("places")))
+
+
+def _placed(rows: DataFrame, orders: DataFrame, order: list[str], shards: int, carried: list[str]) -> DataFrame:
+    """carried, shard and slot of rows (with their bucket), numbered within buckets by order."""
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    position = F.col("start") + F.get("places", F.col("i") - 1) - 1
+    return numbered.join(orders, "bucket").select(*carried, *_place(position, shards))
+
+
+def plan_shards(records: DataFrame, shards: int = SHARDS, seed: int = SEED, task_rows: int = TASK_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, occurrence, shard, slot) for records of the first three columns."""
     counted = durable(records.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
-    key = _key(seed)
-    row = F.struct(key.alias("key"), "doc_id", "size", "text_crc32", "occurrence")
-    scattered = _each(counted).groupBy(F.pmod(key, _buckets(counted)).alias("bucket")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    shuffled = durable(scattered.select("bucket", fisher_yates(F.col("rows"), _draw(seed)).alias("rows")))
-    starts = _starts(shuffled.select("bucket", F.size("rows").cast("long").alias("n"))).drop("n")
-    placed = shuffled.join(starts, "bucket").select("start", F.posexplode("rows").alias("i", "r"))
-    return placed.select("r.doc_id", "r.size", "r.text_crc32", "r.occurrence", *_place(F.col("start") + F.col("i"), shards))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, text: str = "text", stored: bool = False) -> None:
-    """docs in shards: a folder per shard, the rows of each file in slot order; places are those of plan_shards().
-
-    Whole rows are scattered into buckets, shuffled there and written. Copies are numbered within
-    salted chunks of their key, after the copies of the chunks before, so that no task gets all
-    copies of a key. Rows must bear the same salt in both readings: stored says that docs is a
-    plain reading of files; all else is written once before.
+    n = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    rows = _each(counted).withColumn("key", _key(seed)).withColumn("bucket", _bucket(F.col("key"), n))
+    own = ["doc_id", "size", "text_crc32", "occurrence"]
+    orders = _orders(rows.groupBy("bucket").agg(F.count("*").alias("n")), seed, _tasks(n, task_rows))
+    return _placed(rows, orders, ["key", *own], shards, own)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, stored: bool = False, task_rows: int = TASK_ROWS) -> None:
+    """docs in shards: a folder per shard, the rows of each file in slot order.
+
+    Rows must be told apart alike in both readings: stored says that docs is a plain reading of files; all
+    else is written once before.
     """
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("columns shard and slot are those of the plan")
     if not stored:
         copy = shared_path(docs.sparkSession, "records")
         docs.write.parquet(copy)
         docs = docs.sparkSession.read.schema(docs.schema).parquet(copy)
-    k = F.struct(F.col("doc_id").alias("doc_id"), *[c.alias(name) for name, c in record_columns(F.col(text)).items()])  # as a struct null ids are equal
-    salt = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(BLOCK))
-    rows = docs.select(k.alias("k"), salt.alias("salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    chunks = durable(rows.groupBy("k", "salt").agg(F.count("*").alias("copies")))
-    counted = durable(chunks.groupBy("k").agg(F.sum("copies").alias("copies")))
-    earlier = F.sum("copies").over(Window.partitionBy("k").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = chunks.select("k", "salt", earlier.alias("offset")).where("offset > 0")
-    bucket = F.pmod(_key(seed), _buckets(counted)).alias("bucket")
-    starts = _starts(_each(counted.select("k.*", "copies")).groupBy(bucket).agg(F.count("*").alias("n")))
-    orders = durable(starts.select("bucket", "start", fisher_yates(F.sequence(F.lit(1), F.col("n").cast("int")), _draw(seed)).alias("order")))
-    # texts move twice: by key and salt to be numbered, by bucket to be shuffled
-    within = F.row_number().over(Window.partitionBy("k", "salt").orderBy(F.lit(0))) - 1
-    numbered = rows.withColumn("within", within).join(offsets, ["k", "salt"], "left").select("k.*", "row", (F.coalesce("offset", F.lit(0).cast("long")) + F.col("within")).alias("occurrence"))
-    sorted_rows = Window.partitionBy("bucket").orderBy("key", "doc_id", "size", "text_crc32", "occurrence")
-    scattered = numbered.select(bucket, _key(seed).alias("key"), "doc_id", "size", "text_crc32", "occurrence", "row").withColumn("i", F.row_number().over(sorted_rows))
-    position = F.col("start") + F.array_position("order", F.col("i")) - 1
-    placed = scattered.join(orders, "bucket").select("row.*", *_place(position, shards))
+    key = place_key(seed)
+    n = docs.count()
+    orders = _orders(docs.select(_bucket(key, n).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")), seed, _tasks(n, task_rows))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scattered = docs.select(whole, key.alias("key"), _bucket(key, n).alias("bucket")).repartition(_tasks(n, task_rows), "bucket")
+    placed = _placed(scattered, orders, ["key"], shards, ["row.*"])
     written = placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard")
     written.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
 
