@@ -46,6 +46,26 @@ def test_edits_touch_little():
     assert tree.reencoded <= 8
 
 
+def test_edits_after_long_inserts_touch_little():
+    own = token_counts.counter(bpe.default_path())
+    rng = random.Random(2)
+    text = "some words here " * 500
+    tree = token_counts.TokenTree(text, own)
+    for at, new in ((4000, "inserted words follow " * 20_000), (200_000, "and then more of it " * 3000), (10, "x y " * 2000)):
+        tree.replace(at, at, new)
+        text = text[:at] + new + text[at:]
+        assert max(map(len, tree.leaves)) <= token_counts.LEAF
+        for _ in range(60):
+            a, before = rng.randrange(len(text)), tree.reencoded
+            b, new = a + rng.randint(0, 3), rng.choice(["", "q", " or ", "1"])
+            tree.replace(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.reencoded - before <= 8
+    assert tree.text() == text and tree.n_tokens == token_counts.TokenTree(text, own).n_tokens
+    tree.replace(5, len(text), "")
+    assert tree.text() == text[:5] and tree.n_tokens == token_counts.TokenTree(text[:5], own).n_tokens
+
+
 def test_token_counts_query_form(spark, tricky, nothing):
     with_edits = lambda df: df.withColumn("edits", token_counts.seeded_edits(df.text, df.doc_id))
     got = token_counts.count_tokens(with_edits(tricky)).collect()
