@@ -9,8 +9,9 @@ BLOCK documents by seeded hash; their residuals meet in the next level of a redu
 tree with the same fan-in, until one residual per source is left, which is rounded to the nearer side: a
 source's words differ from its target by half a document at most.
 
-A unit is all rows with the same (source, doc_id, text digest): rows equal in these share one
-decision; other texts under a repeated or null doc_id are units of their own. Edge cases: null text has
+A unit is one row. Rows equal in source, doc_id and text (in apply_mix(): in every column) are counted
+first, with partial sums on the map side, and told apart by number, so that repeated and null ids are rounded row
+by row and a hot key is one row to each task. Edge cases: null text has
 size 0; null source is a source of its own, last in order; sizes of zero take nothing;
 extra columns pass through apply_mix() unless they bear the name of a result
 column, which replaces them; an empty table gives an empty result. Decisions depend on
@@ -19,26 +20,28 @@ rows and seed alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, durable, word_count
 
 BLOCK = 96
+#: Equal rows that are told apart, or written, in one go.
+STRETCH = 4096
 SEED = 7_919
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
-    """(source, source_size, n_rows, target): water-filling of all words over the sources.
+    """(source, source_size, n, target) for rows (source, size, rows): water-filling of all words over the sources.
 
     With caps of MAX_COPIES times a source's size, the level L solves
     sum(min(cap, L * weight)) = total. Sources ordered by cap / weight: the first k
     are capped, where k is the first at which the level of the rest fits below its
     own ratio. The windows run over one row per source.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("n"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     rank = F.row_number().over(order)
     weighted = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(rank - 1, F.lit(len(WEIGHTS))) + 1).cast("double")).withColumn("cap", F.col("source_size").cast("double") * MAX_COPIES)
@@ -53,7 +56,7 @@ def source_targets(rows: DataFrame) -> DataFrame:
         .withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
         .withColumn("final", F.coalesce(F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(everything)["level"], F.lit(0.0)))
     )
-    return levels.select("source", "source_size", "n_rows", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
+    return levels.select("source", "source_size", "n", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
 
 
 def _pivot_block(level: int, seed: int) -> str:
@@ -98,28 +101,43 @@ def round_fractions(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> D
     return found.unionByName(last)
 
 
-def _unit_copies(rows: DataFrame, seed: int) -> DataFrame:
-    """mix_copies() of rows with a digest, which tells apart the texts of repeated and null ids."""
-    targets = durable(source_targets(rows))
-    units = rows.groupBy("source", F.struct("doc_id", "digest").alias("id")).agg(F.sum("size").alias("size"))
-    per_source = units.groupBy("source").agg(F.count("*").alias("n"))
-    same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    rates = targets.alias("t").join(per_source.alias("u"), same("t", "u", "source")).select("t.*", "u.n").withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0)))
-    rates = durable(rates.withColumn("whole", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate")))
-    open_units = (
-        units.alias("u")
-        .join(rates.alias("r"), same("u", "r", "source"))
-        .where((F.col("u.size") > 0) & (F.col("r.part") > 0))
-        .select("u.source", "u.id", (F.col("r.part") * F.col("u.size")).alias("mass"), F.col("u.size").cast("double").alias("size"), "r.n")
-    )
-    takes = round_fractions(open_units, seed).select("source", "id.doc_id", "id.digest", "take")
-    joined = rows.alias("d").join(takes.alias("k"), same("d", "k", "source", "doc_id", "digest"), "left").select("d.*", F.coalesce("k.take", F.lit(0)).alias("take"))
-    return joined.alias("d").join(rates.alias("r"), same("d", "r", "source")).select("d.source", "d.doc_id", "d.digest", "d.size", "r.source_size", "r.target", (F.col("r.whole") + F.col("d.take")).alias("copies"))
+def _each(counted: DataFrame) -> DataFrame:
+    """counted (source, id, size, rows) with a row per row, told apart by its number in the id; many rows in stretches."""
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / STRETCH)))
+    number = F.explode(F.sequence(F.col("stretch") * STRETCH, F.least(F.col("rows"), (F.col("stretch") + 1) * STRETCH) - 1))
+    return counted.withColumn("stretch", stretch).withColumn("number", number).select("source", F.struct("id", "number").alias("id"), "size")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(source, id, size, rows): rows counted by source and by id, which holds their other columns but size."""
+    others = [c for c in rows.columns if c not in ("source", "size")]
+    return durable(rows.groupBy("source", F.struct(*others).alias("id"), "size").agg(F.count("*").alias("rows")))
+
+
+def _rates(counted: DataFrame) -> DataFrame:
+    """(source, source_size, n, target, whole, part): the copies of each source's rows."""
+    targets = source_targets(counted.select("source", (F.col("size") * F.col("rows")).alias("size"), "rows"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0))
+    return durable(targets.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate")))
+
+
+def _same(a: str, b: str, *columns: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+
+
+def _takes(each: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """(source, id, take): the fractions of all units, rounded."""
+    units = each.alias("u").join(rates.alias("r"), _same("u", "r", "source")).where((F.col("u.size") > 0) & (F.col("r.part") > 0))
+    return round_fractions(units.select("u.source", "u.id", (F.col("r.part") * F.col("u.size")).alias("mass"), F.col("u.size").cast("double").alias("size"), "r.n"), seed)
 
 
 def mix_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, size, source_size, target, copies), a row per row of rows (source, doc_id, size and, if ids repeat, digest)."""
-    return _unit_copies(rows if "digest" in rows.columns else rows.withColumn("digest", F.col("size")), seed).drop("digest")
+    """(source, doc_id, size, source_size, target, copies), a row per row of rows (source, doc_id, size and, if texts share ids, digest)."""
+    counted = _counted(rows)
+    rates, each = _rates(counted), _each(counted)
+    taken = each.alias("d").join(_takes(each, rates, seed).alias("k"), _same("d", "k", "source", "id"), "left").select("d.*", F.coalesce("k.take", F.lit(0)).alias("take"))
+    out = taken.alias("d").join(rates.alias("r"), _same("d", "r", "source"))
+    return out.select("d.source", "d.id.id.doc_id", "d.size", "r.source_size", "r.target", (F.col("r.whole") + F.col("d.take")).alias("copies"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -128,10 +146,20 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    copies = _unit_copies(sized(docs), seed).groupBy("source", "doc_id", "digest").agg(F.max("copies").alias("copies")).where("copies > 0")
-    on = [F.col("d.source").eqNullSafe(F.col("m.source")), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), F.xxhash64("d.text") == F.col("m.digest")]
-    return docs.alias("d").join(copies.alias("m"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m.copies")))).select("d.*")
+    """docs with each row as often as the mix takes it; rows equal in every column share the copies that all of them get."""
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col("source"), F.col("doc_id"), F.xxhash64(*named).alias("digest"))
+    counted = _counted(durable(docs.select(F.col("source"), F.col("doc_id"), key["digest"].alias("digest"), word_count(F.col("text")).alias("size"))))
+    rates = _rates(counted)
+    taken = _takes(_each(counted), rates, seed).groupBy("source", F.col("id.id").alias("id")).agg(F.sum("take").alias("take"))
+    some = counted.alias("d").join(taken.alias("k"), _same("d", "k", "source", "id"), "left").join(rates.alias("r"), _same("d", "r", "source"))
+    copies = some.select(F.struct("d.source", "d.id.doc_id", "d.id.digest").alias("k"), (F.col("r.whole") * F.col("d.rows") + F.coalesce("k.take", F.lit(0))).alias("copies")).where("copies > 0")
+    # equal rows meet as one, on the map side already, and leave as often as they are taken, in stretches
+    distinct = docs.select(key.alias("k"), F.struct(*named).alias("row")).groupBy("k").agg(F.first("row").alias("row"))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STRETCH)))
+    joined = distinct.join(copies, "k").select("row", "copies", stretch.alias("stretch"))
+    once_more = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(STRETCH).cast("long"), F.col("copies") - F.col("stretch") * STRETCH)))
+    return joined.select("row", once_more.alias("copy")).select("row.*")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
