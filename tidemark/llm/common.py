@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,18 +16,56 @@ SPACES = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
+#: A key with more than one in HEAVY of all rows is salted, so there are fewer than HEAVY such keys; with SALTS salts.
+HEAVY, SALTS = 1024, 64
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder stands in.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one stands in on a local master only."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def heavy(counts: DataFrame, on: str) -> DataFrame:
+    """The keys of counts (on, n) with more than one in HEAVY of all rows: fewer than HEAVY keys whatever the input."""
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return counts.where(F.col("n") * HEAVY > total).select(on)
+
+
+def join_salted(many: DataFrame, few: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+    """many.join(few, on) where few has a row per key; the rows of the keys of hot, as heavy() gives them, spread over SALTS tasks."""
+    marked = F.broadcast(hot.select(on, F.lit(True).alias("_hot")))  # fewer than HEAVY rows
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    left = many.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(marked, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [on, "_salt"]).drop("_salt")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

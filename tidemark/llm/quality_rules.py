@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, words
+from .common import documents, fresh, let, words
 
 # Frequent function words of English, French, German and Spanish; words equal to one of them count.
 STOP_WORDS = (
@@ -129,8 +129,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(x, begins)).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(x, lambda y: F.rtrim(y).endswith("..."))).cast("long").alias("n_ellipsis_lines"),
     )
-    counted = docs.withColumns({"_w": let(words(F.col(text)), of_words), "_l": let(lines, of_lines), "n_symbols": without(SYMBOLS), "n_punctuation": without(PUNCTUATION)})
-    flat = counted.withColumns({c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {c: F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}).drop("_w", "_l")
+    w, x = fresh(docs, "_w"), fresh(docs, "_l")
+    counted = docs.withColumns({w: let(words(F.col(text)), of_words), x: let(lines, of_lines), "n_symbols": without(SYMBOLS), "n_punctuation": without(PUNCTUATION)})
+    flat = counted.withColumns({c: F.col(f"{w}.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {c: F.col(f"{x}.{c}") for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}).drop(w, x)
     return flat.withColumns(
         {
             "mean_word_length": _share(F.col("word_chars"), F.col("n_words")),
@@ -151,9 +152,14 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with their columns as they were."""
-    held = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return apply_rules(held, rules).where("kept").select("_row.*")
+    """The rows of docs that pass, with their columns as they were.
+
+    The verdict goes through a generator of one row, past which no filter is pushed: a filter on the
+    measures themselves would be evaluated below them, each measure once more for every rule that reads it.
+    """
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    judged = apply_rules(held, rules).select("_row", F.explode(F.array("kept")).alias("kept"))
+    return judged.where("kept").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ the free bits, and a bucket with 10 free bits cannot exceed BUCKET, so splitting
 a fixed number of levels and no bucket is ever larger. Copies meet before that, as one
 distinct fingerprint. A bucket's links leave it as a spanning forest (fewer links than
 fingerprints) rather than as pairs; no two linked fingerprints are parted by that. Components come
-from alternating large-star and small-star steps.
+from alternating large-star and small-star steps. Heavy fingerprints and hubs are salted in joins.
 
 Edge cases: null or blank text has fingerprint zero, linked like any other; texts of one or
 two words hash the whole sequence; null doc_ids take part but never name a
@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, durable, slices
+from .common import documents, durable, fresh, heavy, join_salted, slices
 
 BUDGET = 3
 SEGMENTS = 4
@@ -160,18 +161,22 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (u, v): root is the least node of its component."""
+    """(node, root) for every node of edges (u, v): root is the least node of its component.
+
+    Large and small stars in turn. The hub of a great star has a row for each leaf: such heavy nodes are salted in the joins.
+    """
     edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_salted(both, least.select("u", "m"), "u", heavy(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = durable(large)
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_salted(large, down.select("u", "m"), "u", heavy(down, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         after = durable(small.where("u <> v").distinct())
         # a fixed point is a set of stars: no node both points and is pointed at, and none points twice
         points = after.groupBy("u").agg(F.count("*").alias("n"))
-        still = points.where("n > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        still = points.where("n > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
         edges = after
         if still:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -180,15 +185,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, root), a row per row of docs; root names the component by a fingerprint."""
     prints = durable(fingerprints(docs))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     trees = components(links(nodes))
     # ids of the linked fingerprints, roots included
     of_root = trees.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(trees.select("node", "root"))
-    named = of_root.join(nodes.withColumnRenamed("fp", "node"), "node")
-    ids = named.groupBy("root").agg(F.min("first").alias("id"))
-    linked = named.join(ids, "root").select(F.col("node").alias("fp"), "root", "id")
+    named = of_root.join(nodes.select(F.col("fp").alias("node"), "first"), "node")
+    ids = named.groupBy("root").agg(F.min("first").alias("id"), F.count("*").alias("n"))
+    linked = join_salted(named, ids.select("root", "id"), "root", heavy(ids, "root")).select(F.col("node").alias("fp"), "root", "id")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
+    return join_salted(prints, classes, "fp", heavy(nodes, "fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -213,15 +218,16 @@ def _named(docs: DataFrame) -> list[Column]:
 
 def _by_print(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of docs for each (doc_id, fp) of chosen that is found there."""
+    mark = fresh(docs, "_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield batch.append_column("_fp", pa.array(prints))
+            yield batch.append_column(mark, pa.array(prints))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _fp long"
-    printed = docs.mapInArrow(run, schema).dropDuplicates(["doc_id", "_fp"])
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._fp") == F.col("k.fp"))
+    schema = T.StructType([*docs.schema, T.StructField(mark, T.LongType())])
+    printed = docs.mapInArrow(run, schema).dropDuplicates(["doc_id", mark])
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.fp"))
     return printed.alias("d").join(chosen.alias("k"), same, "left_semi").select(*_named(docs))
 
 
