@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, let
-from .simple8b import shared_path
+from .common import documents, durable, let, shared_path
 
 SHARDS = 24
 BUCKET_ROWS = 1024
