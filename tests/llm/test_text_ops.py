@@ -7,8 +7,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, media, secret_scan, sentencepiece_codec, simhash, simple8b, token_counts
+from tidemark.llm import bpe, common, langid, media, secret_scan, sentencepiece_codec, simhash, simple8b, token_counts
 
 PIECES = ["a", "the", " ", "  ", "\n", "é", "漢", "😀", "\t", "'s", "'", "12", " .", "!!", "<|endoftext|>", " \n", "▁", "\0", "ñ", " "]
 
@@ -382,6 +383,23 @@ def test_one_row_of_each_component_stays(spark, tricky, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def test_column_names_of_the_user_stay(spark, tricky):
+    named = tricky.withColumns({c: F.lit("own") for c in ("_fp", "fp", "root", "n", "_salt", "_hot", "component_id")})
+    kept = simhash.keep_one(named)
+    assert kept.columns == named.columns and kept.count() == simhash.keep_one(tricky).count()
+    assert kept.where("_fp = 'own' and root = 'own' and _salt = 'own'").count() == kept.count()
+
+
+def test_heavy_keys_are_salted(spark):
+    many = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("fp"), "id").unionByName(spark.createDataFrame([(None, 1)], "fp long, id long"))
+    counts = many.groupBy("fp").agg(F.count("*").alias("n"))
+    hot = common.heavy(counts, "fp")
+    assert [r.fp for r in hot.collect()] == [7]
+    few = counts.select("fp", (F.col("fp") * 2).alias("twice"))
+    joined = common.join_salted(many, few, "fp", hot)
+    assert joined.count() == 5000 and joined.where("twice <> 2 * fp").count() == 0 and joined.columns == ["fp", "id", "twice"]
+
+
 def test_repeated_ids_lose_no_component(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60))
@@ -413,6 +431,30 @@ def test_language_edge_cases(spark, tricky, nothing):
     assert langid.identify(tricky, langid.fit(nothing)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_bounded_and_stratified(spark):
+    words = {"aa": "alpha beta gamma", "bb": "uno dos tres cuatro", "cc": "eins zwei drei vier"}
+    make = lambda lang, n, doc_id: spark.range(n).select(doc_id.alias("doc_id"), F.concat_ws(" ", F.lit(words[lang]), (F.col("id") * 7919).cast("string"), F.lit(words[lang])).alias("text"), F.lit(lang).alias("lang"))
+    nulls = F.lit(None).cast("long")
+    one = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 4 != 2)
+    hot = spark.range(3000).select(F.lit(one).cast("long").alias("doc_id"), F.lit(words["aa"]).alias("text"), F.lit("aa").alias("lang"))
+    for doc_id in (nulls, F.lit(one).cast("long"), F.col("id")):
+        df = make("aa", 6000, doc_id).unionByName(make("bb", 900, doc_id)).unionByName(make("cc", 8, doc_id)).unionByName(hot)
+        rows = langid.sample(df, 300)
+        by = defaultdict(int)
+        for r in rows:
+            by[r["lang"]] += 1
+        assert len(rows) <= 300 and by["cc"] >= 4 and by["aa"] >= 90 and by["bb"] >= 90
+    model = langid.train(langid.sample(df, 300))
+    assert [model.predict(words[y])[0] for y in ("aa", "bb", "cc")] == ["aa", "bb", "cc"]
+
+
+def test_rejection_follows_measured_errors():
+    sure = np.array([0.9, 0.8, 0.7, 0.6, 0.5, 0.4])
+    assert langid.rejection_floor(sure, np.array([1, 1, 1, 1, 1, 1], bool)) == 0.4
+    assert langid.rejection_floor(sure, np.array([1, 1, 1, 0, 1, 0], bool)) == 0.7
+    assert langid.rejection_floor(sure, np.zeros(6, bool)) > 0.9
+
+
 # --- media ---------------------------------------------------------------------------------
 
 
@@ -443,6 +485,27 @@ def test_media_round_trip(spark, tricky, docs, nothing, tmp_path):
         assert all(len(v) == 1 for v in by.values())
 
 
+def test_the_pool_holds_each_repeated_digest_once(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    common, hot = text(900), text(700)
+    rows = [(i, text(200) + common + text(200)) for i in range(60)] + [(100 + i, hot) for i in range(60)] + [(None, text(50)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    media.store(df, str(tmp_path / "m"))
+    counts = defaultdict(int)
+    for _, t in rows:
+        for d, _ in media.chunked(media.payload(t)):
+            counts[d] += 1
+    pool = [bytes(r.digest) for r in spark.read.parquet(str(tmp_path / "m" / "pool")).collect()]
+    assert len(pool) == len(set(pool)) and {d for d, n in counts.items() if n > 1} <= set(pool) <= set(counts)
+    own = sum(len(r.data) for r in spark.read.parquet(str(tmp_path / "m" / "media")).collect())
+    stored = {bytes(r.digest): len(r.data) for r in spark.read.parquet(str(tmp_path / "m" / "pool")).collect()}
+    sizes = {d: len(c) for _, t in rows for d, c in media.chunked(media.payload(t))}
+    assert own + sum(stored.values()) == sum(sizes.values())
+    got = media.load(spark, str(tmp_path / "m")).collect()
+    assert sorted((r.doc_id or -1, r.payload_sha256) for r in got) == sorted((i or -1, hashlib.sha256(media.payload(t)).hexdigest()) for i, t in rows)
+
+
 def test_damaged_chunks_are_refused():
     pieces = media.chunked(media.payload("abc" * 1000))
     recipe, own = media.recipe_of(pieces), b"".join(c for _, c in pieces)
