@@ -25,7 +25,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import CharDelimiterSplit  # noqa: E402
 
-_ADJACENT_SPACE = re.compile(r"\s\s")
 _MARKS = string.punctuation
 #: A pre-token of letters (of ranges that are settled in every version of Unicode), and at most one of marks behind it.
 _LETTERS = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{-~]*\z"
@@ -47,8 +46,8 @@ def default_path() -> str:
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each of many stretches, one after another."""
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    at += np.arange(len(at))
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes).astype(starts.dtype), sizes)
+    at += np.arange(len(at), dtype=at.dtype)
     return at
 
 
@@ -56,6 +55,8 @@ class UnitEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Found in texts that do not fall into units whose ids are independent of their neighbours.
+        self.together = "|".join([r"\x00", r"[\t-\r\x1c-\x1f\x85\p{Z}]{2}", *map(re.escape, self.special)])
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each token: byte-level tokens are written with one character per byte.
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -130,34 +131,30 @@ class UnitEncoder:
         order = np.argsort(~lettered, kind="stable")
         starts = np.empty(len(units), np.int64)
         starts[order] = np.cumsum(total[order]) - total[order]
-        return np.concatenate([flat, *others]), starts, total
+        return np.concatenate([flat, *others]), starts.astype(np.int32), total.astype(np.int32)
 
-    def splits(self, text: str) -> bool:
-        """Whether the text falls into units whose ids do not depend on their neighbours."""
-        return not ("\0" in text or any(s in text for s in self.special) or _ADJACENT_SPACE.search(text))
-
-    def encode_many(self, texts: list[str | None], at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_many(self, texts: list[str | None] | pa.Array, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, counts) of stretches of texts: the ids one text after another, and how many each has; null is empty.
 
         Each distinct unit of all texts is encoded once; ids are put together for about at_once of them at a time.
         """
-        texts = [t or "" for t in texts]
-        whole = [k for k, t in enumerate(texts) if not self.splits(t)]
-        apart = dict(zip(whole, self.whole([texts[k] for k in whole]), strict=True))
-        for k in whole:
-            texts[k] = ""
-        lines = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\n", "\0\n\0")
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "").cast(pa.large_string())
+        together = pc.match_substring_regex(column, self.together)
+        whole = np.flatnonzero(together.to_numpy(zero_copy_only=False)).tolist()
+        apart = dict(zip(whole, self.whole(column.take(pa.array(whole, pa.int64())).to_pylist()), strict=True))
+        column = pc.if_else(together, "", column)
+        lines = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
         parts = pc.split_pattern(lines, "\0")
         coded = parts.flatten().dictionary_encode()
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         ids, starts, sizes = self.units(coded.dictionary)
         unit = coded.indices.to_numpy()
-        del lines, parts, coded
-        reached = np.concatenate(([0], np.cumsum(sizes[unit])))[bounds]
+        del lines, parts, coded, texts
+        reached = np.concatenate(([0], np.cumsum(sizes[unit], dtype=np.int64)))[bounds]
         for k, x in apart.items():
             reached[k + 1 :] += len(x)
         groups = np.flatnonzero(np.diff(reached[1:] // at_once)) + 1
-        for first, last in zip([0, *groups.tolist()], [*groups.tolist(), len(texts)], strict=True):
+        for first, last in zip([0, *groups.tolist()], [*groups.tolist(), len(column)], strict=True):
             own = unit[bounds[first] : bounds[last]]
             n = sizes[own]
             flat = ids[ragged(starts[own], n)]

@@ -24,8 +24,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import documents, slices
+from .common import documents, shared_path, slices
 
 END_ID = 2
 # Fixed values: (values, bits) of selectors 1 to 14 of Simple-8b; selector 0 escapes.
@@ -218,7 +216,7 @@ def _encode(path: str, bounds: list[int]):
             first, last = np.searchsorted(limits, ids, "left"), np.searchsorted(limits, ids, "right")
             file = first + (rng.random(len(ids)) * (last - first + 1)).astype(np.int64)
             at = 0
-            for flat, counts in encode(batch.column("text").to_pylist()):
+            for flat, counts in encode(batch.column("text")):
                 ends = np.cumsum(counts).tolist()
                 packed = pack_many([np.concatenate((flat[b - n : b], end)) for b, n in zip(ends, counts.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
@@ -287,14 +285,6 @@ def export_files(spark: SparkSession, path: str, folder: str) -> None:
             out.write(bytes(r["data"]))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-ids")
     write_ids(documents(spark, sf_dir), path)
