@@ -6,9 +6,11 @@ Two window functions over one sort find clusters; picking a row per cluster reus
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
 from .windows import ORDER, PART, ordered
 
 
@@ -34,20 +36,22 @@ def suppress(df: DataFrame, score: str, threshold: float, gap: float, time: str
 
 
 def bursts(df: DataFrame, gap: float, time: str = "t", part: str = PART) -> DataFrame:
-    """(entity, cluster, start, end, n, timestamps) of the distinct times of df."""
-    return (
-        islands(df.select(part, time).distinct(), gap, time, part)
-        .groupBy(part, "cluster")
-        .agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"), F.sort_array(F.collect_list(time)).alias("timestamps"))
-    )
+    """(entity, cluster, start, end, n, timestamps) of the distinct times of df; equal times count once."""
+    times = F.sort_array(F.collect_set(time)).alias("timestamps")
+    found = islands(df.select(part, time), gap, time, part).groupBy(part, "cluster").agg(F.min(time).alias("start"), F.max(time).alias("end"), times)
+    return found.select(part, "cluster", "start", "end", F.size("timestamps").cast("long").alias("n"), "timestamps")
 
 
-def burst_representative(found: DataFrame, features: DataFrame, score: str, time: str = "t", part: str = PART) -> DataFrame:
-    """The feature row of least score among each burst's times (earliest of equals); without any, its middle time."""
-    times = found.select(part, "cluster", F.explode("timestamps").alias(time))
-    best = times.join(features.select(part, time, F.col(score).alias("_s"), ORDER), [part, time]).groupBy(part, "cluster").agg(F.min(F.struct("_s", ORDER, time)).alias("_b"))
-    middle = F.element_at("timestamps", (F.floor(F.col("n") / 2) + 1).cast("int"))
-    return found.join(best, [part, "cluster"], "left").select(part, "cluster", "n", F.coalesce(F.col(f"_b.{time}"), middle).alias(time), F.col("_b._s").alias(score))
+def burst_representative(df: DataFrame, gap: float, score: str, able: Column | bool = True, time: str = "t", part: str = PART) -> DataFrame:
+    """(entity, cluster, n, time, score): the row of least score among each burst's able rows (earliest of equals); without any, its middle time.
+
+    Bursts, their times and their best row are one aggregate over the clusters' own partitioning.
+    """
+    able = F.lit(able) if isinstance(able, bool) else able
+    best = F.min(F.when(able, F.struct(F.col(score).alias("s"), F.col(ORDER).alias("i"), F.col(time).alias("t")))).alias("_b")
+    found = islands(df, gap, time, part).groupBy(part, "cluster").agg(F.sort_array(F.collect_set(time)).alias("_ts"), best)
+    middle = F.get("_ts", F.floor(F.size("_ts") / 2).cast("int"))
+    return found.select(part, "cluster", F.size("_ts").cast("long").alias("n"), F.coalesce("_b.t", middle).alias(time), F.col("_b.s").alias(score))
 
 
 def last_of_cluster(df: DataFrame, gap: int, order: str = ORDER, part: str = PART) -> DataFrame:
@@ -55,16 +59,36 @@ def last_of_cluster(df: DataFrame, gap: int, order: str = ORDER, part: str = PAR
     return islands(df, gap, order, part).groupBy(part, "cluster").agg(F.max(order).alias(order), F.count("*").alias("n"))
 
 
+def spaced_out(times: np.ndarray, gap: float) -> np.ndarray:
+    """Indices of sorted times kept greedily: the first, then each at least gap after the last kept one."""
+    kept, at, n = [], 0, len(times)
+    while at < n:
+        kept.append(at)
+        last = times[at]
+        nxt = int(np.searchsorted(times, last + gap))
+        # the sum is rounded, the difference decides
+        while nxt > at + 1 and times[nxt - 1] - last >= gap:
+            nxt -= 1
+        nxt = max(nxt, at + 1)
+        while nxt < n and times[nxt] - last < gap:
+            nxt += 1
+        at = nxt
+    return np.array(kept, np.int64)
+
+
 def min_gap(df: DataFrame, gap: float, time: str = "t", part: str = PART) -> DataFrame:
     """Times kept greedily: the first, then each at least gap after the last kept one.
 
-    The choice depends on the last kept time, so it is a fold; it runs on the JVM over an
-    entity's distinct times, which an array holds.
+    The choice depends on the last kept time, so it is a fold over an entity's sorted times; it
+    jumps from one kept time to the next by bisection. Null times are left out.
     """
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= gap), F.struct(t.alias("last"), F.array_append(a["kept"], t).alias("kept"))).otherwise(a)
-    times = df.groupBy(part).agg(F.array_sort(F.collect_set(time)).alias("_ts"))
-    return times.select(part, F.explode(F.aggregate("_ts", zero, step, lambda a: a["kept"])).alias(time))
+
+    def keep(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        times = np.unique(values[time])
+        return {time: times[spaced_out(times, gap)]}
+
+    kind = {f.name: f.dataType.simpleString() for f in df.select(part, time).schema}
+    return fold(df.select(part, F.col(time).cast("double").alias(time)).where(F.col(time).isNotNull()), part, [time], keep, f"{part} {kind[part]}, {time} double")
 
 
 def with_end_row(df: DataFrame, durations: DataFrame, time: str = "t", part: str = PART) -> DataFrame:

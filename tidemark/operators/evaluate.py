@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
 from .windows import PART
 
 
@@ -48,15 +49,55 @@ def optimal_threshold(sweep: DataFrame, least_recall: float) -> DataFrame:
     return sweep.orderBy(F.desc(F.col("recall") >= least_recall), F.desc("f1"), "threshold").limit(1)
 
 
+def _stretch(score: Column) -> Column:
+    """A whole number from -4096 to 4096 that never falls as the score grows: each step rounds a monotone function."""
+    size = F.floor((1 - 1 / (1 + F.abs(score))) * 4096)
+    return F.when(score < 0, -size - 1).otherwise(size)
+
+
 def roc_auc(df: DataFrame, score: str, label: str = "label", *keys: str) -> DataFrame:
-    """Area under the ROC curve by mid-ranks, from one row per (key, score value)."""
-    grouped = df.groupBy(*keys, score).agg(F.sum(label).cast("double").alias("_pos"), F.count("*").cast("double").alias("_all"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = grouped.withColumn("_rank", F.coalesce(F.sum("_all").over(w), F.lit(0.0)) + (F.col("_all") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_pos")).alias("_r"), F.sum("_pos").alias("_p"), F.sum("_all").alias("_n"))
+    """Area under the ROC curve by mid-ranks, from one row per (key, score value).
+
+    Ranks are counted within stretches of the score's range and lifted by the rows of the stretches before, of which
+    there are some thousands at most, so no task sorts all values.
+    """
+    grouped = df.groupBy(*keys, _stretch(F.col(score)).alias("_at"), score).agg(F.sum(label).cast("double").alias("_pos"), F.count("*").cast("double").alias("_all"))
+    before = lambda w: F.coalesce(F.sum("_all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    inner = grouped.withColumn("_in", before(Window.partitionBy(*keys, "_at").orderBy(score)) + (F.col("_all") + 1) / 2)
+    # per stretch: sums that do not know yet how many rows lie before it
+    parts = inner.groupBy(*keys, "_at").agg(F.sum(F.col("_in") * F.col("_pos")).alias("_r"), F.sum("_pos").alias("_p"), F.sum("_all").alias("_all"))
+    lifted = parts.withColumn("_r", F.col("_r") + F.col("_p") * before(Window.partitionBy(*keys).orderBy("_at")))
+    sums = lifted.groupBy(*keys).agg(F.sum("_r").alias("_r"), F.sum("_p").alias("_p"), F.sum("_all").alias("_n"))
     return sums.select(*keys, F.when((F.col("_p") > 0) & (F.col("_n") > F.col("_p")), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * (F.col("_n") - F.col("_p")))).alias("auc"))
 
 
+def _matches(times: np.ndarray, wanted: np.ndarray, tolerance: float) -> int:
+    """How many of wanted, in order, find a free one of times (the first in their order) within tolerance."""
+    order = np.argsort(times, kind="stable")
+    by_time = times[order]
+    low = np.searchsorted(by_time, np.nextafter(wanted - tolerance, -np.inf)).tolist()
+    high = np.searchsorted(by_time, np.nextafter(wanted + tolerance, np.inf), "right").tolist()
+    # the next free place at or after each place, with shortcuts over taken ones
+    free = list(range(len(times) + 1))
+    listed, place, hits = by_time.tolist(), order.tolist(), 0
+
+    def next_free(k: int) -> int:
+        while free[k] != k:
+            free[k] = k = free[free[k]]
+        return k
+
+    for x, a, b in zip(wanted.tolist(), low, high, strict=True):
+        best, k = -1, next_free(a)
+        while k < b:
+            if abs(listed[k] - x) <= tolerance and (best < 0 or place[k] < place[best]):
+                best = k
+            k = next_free(k + 1)
+        if best >= 0:
+            free[best] = best + 1
+            hits += 1
+    return hits
+
+
 def tolerance_match(predicted: DataFrame, truth: DataFrame, tolerance: float, time: str = "t", part: str = PART) -> DataFrame:
     """(entity, tp, fp, fn): each prediction in order takes the first free truth within tolerance.
 
@@ -64,18 +105,11 @@ def tolerance_match(predicted: DataFrame, truth: DataFrame, tolerance: float, ti
     entity is a fold; both sides meet in one exchange. Entities on either side appear.
     """
 
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord", kind="stable")
-        times = g.loc[g["side"] == 1, time].tolist()
-        wanted = g.loc[g["side"] == 0, time].tolist()
-        free, tp = list(range(len(times))), 0
-        for x in wanted:
-            hit = next((k for k in free if abs(times[k] - x) <= tolerance), None)
-            if hit is not None:
-                free.remove(hit)
-                tp += 1
-        return pd.DataFrame({part: [g[part].iloc[0]], "tp": [tp], "fp": [len(wanted) - tp], "fn": [len(free)]})
-
-    sided = lambda df, k: df.select(part, time, "ord", F.lit(k).alias("side"))
+    def match(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        true = values["side"] == 1
+        tp = _matches(values[time][true], values[time][~true], tolerance)
+        return {"tp": np.array([tp]), "fp": np.array([int((~true).sum()) - tp]), "fn": np.array([int(true.sum()) - tp])}
+
+    sided = lambda df, k: df.select(part, F.col(time).cast("double").alias(time), "ord", F.lit(k).alias("side"))
     kind = predicted.schema[part].dataType.simpleString()
-    return sided(predicted, 0).unionByName(sided(truth, 1)).groupBy(part).applyInPandas(match, f"{part} {kind}, tp long, fp long, fn long")
+    return fold(sided(predicted, 0).unionByName(sided(truth, 1)), part, ["side", "ord"], match, f"{part} {kind}, tp long, fp long, fn long")

@@ -22,13 +22,16 @@ def snap_to_min(points: DataFrame, frames: DataFrame, width: float, score: str,
 
 
 def context_labels(frames: DataFrame, snapped: DataFrame, context: int, part: str = PART, order: str = ORDER) -> DataFrame:
-    """frames with near: 1 within `context` rows of a snapped frame.
+    """frames with near: 1 within `context` row numbers of a snapped frame.
 
-    Frame numbers are dense, so the range test is a frame of the window and needs no join of its own.
+    Snapped numbers join the frames as rows of their own, and a range of the window finds them: no join, and both
+    sides keep the partitioning by entity that they have.
     """
-    hits = snapped.select(part, order).distinct().withColumn("_hit", F.lit(1))
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(-context, context)
-    return frames.join(hits, [part, order], "left").withColumn("near", F.coalesce(F.max("_hit").over(w), F.lit(0))).drop("_hit")
+    own = F.struct(*frames.columns).alias("_row")
+    marks = snapped.select(part, order, F.lit(1).alias("_hit"), F.lit(None).cast(frames.select(own).schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy(part).orderBy(order).rangeBetween(-context, context)
+    both = frames.select(part, order, F.lit(0).alias("_hit"), own).unionByName(marks)
+    return both.withColumn("near", F.max("_hit").over(w)).where(F.col("_row").isNotNull()).select("_row.*", "near")
 
 
 def nearest_default(left: DataFrame, features: DataFrame, width: float, value: str, default: float, key: str = "event_id", time: str = "t", part: str = PART) -> DataFrame:

@@ -135,11 +135,11 @@ def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.joined(table(spark, sf_dir, "conversations"), "turn", part, "markdown", "\n", "conv_id")
 
 
-@query("""SELECT conv_id, turn, concat('Context: ', left(text, 200), chr(10), 'Role: ', role, chr(10), 'Write notes.') AS prompt, 'stub: ' || left(text, 20) AS notes FROM conversations""")
+@query("""SELECT conv_id, turn, concat('Context: ', text, chr(10), 'Role: ', role, chr(10), 'Write notes.') AS prompt, text AS notes FROM conversations""")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deterministic part of model calls: the prompt, and the text used when a call fails."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.concat(F.lit("Context: "), F.substring("text", 1, 200), F.lit("\nRole: "), "role", F.lit("\nWrite notes.")).alias("prompt"), F.concat(F.lit("stub: "), F.substring("text", 1, 20)).alias("notes"))
+    return c.select("conv_id", "turn", F.concat(F.lit("Context: "), "text", F.lit("\nRole: "), "role", F.lit("\nWrite notes.")).alias("prompt"), F.col("text").alias("notes"))
 
 
 # --- reports and documents -------------------------------------------------------------------
@@ -205,29 +205,29 @@ def ocr_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.text_status(o, "text", "confidence").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT label AS video_id, vec_id, unnest(embedding[:8])::DOUBLE AS c FROM embeddings) SELECT video_id, vec_id, count(*) AS blocks, round(min(c), 6) AS lowest, round(max(c), 6) AS highest, round(avg(c), 6) AS mean FROM b GROUP BY video_id, vec_id""")
+@query("""WITH b AS (SELECT label AS video_id, vec_id, unnest(embedding)::DOUBLE AS c FROM embeddings) SELECT video_id, vec_id, count(*) AS blocks, round(min(c), 6) AS lowest, round(max(c), 6) AS highest, round(avg(c), 6) AS mean FROM b GROUP BY video_id, vec_id""")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, least, greatest and mean of a nested array; zeros for an empty one."""
-    b = F.slice("embedding", 1, 8).cast("array<double>")
+    b = F.col("embedding").cast("array<double>")
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("video_id"), "vec_id", b.alias("b"))
     mean = F.when(F.size("b") > 0, F.aggregate("b", F.lit(0.0), lambda a, x: a + x) / F.size("b")).otherwise(0.0)
     zero = F.lit(0.0)
     return e.select("video_id", "vec_id", F.size("b").cast("long").alias("blocks"), r6(F.coalesce(F.array_min("b"), zero)).alias("lowest"), r6(F.coalesce(F.array_max("b"), zero)).alias("highest"), r6(mean).alias("mean"))
 
 
-@query("""WITH b AS (SELECT vec_id, unnest(range(1, 7)) AS i, unnest(embedding[:6]) AS y FROM embeddings) SELECT vec_id, string_agg('w' || i, ' ' ORDER BY y, i) AS text FROM b GROUP BY vec_id""")
+@query("""WITH b AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS y FROM embeddings) SELECT vec_id, string_agg('w' || i, ' ' ORDER BY y, i) AS text FROM b GROUP BY vec_id""")
 def sort_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised blocks in order of height on the page, joined."""
     e = table(spark, sf_dir, "embeddings")
-    ordered = F.array_sort(F.transform(F.slice("embedding", 1, 6), lambda y, i: F.struct(y.alias("y"), (i + 1).alias("i"))))
+    ordered = F.array_sort(F.transform("embedding", lambda y, i: F.struct(y.alias("y"), (i + 1).alias("i"))))
     return e.select("vec_id", F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("w"), x["i"].cast("string"))), " ").alias("text"))
 
 
-@query("""WITH m AS (SELECT o_orderstatus AS k, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY o_orderstatus) SELECT k AS video_id, unnest(range(1, len(v) + 1)) AS index, unnest(v) AS slide FROM m""")
+@query("""WITH m AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey) SELECT k AS video_id, unnest(range(1, len(v) + 1)) AS index, unnest(v) AS slide FROM m""")
 def map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of arrays, as result documents hold them, back to rows."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.sort_array(F.collect_list("o_orderkey")).alias("v"))
-    one = o.select(F.explode(F.create_map("o_orderstatus", "v")).alias("video_id", "v"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("v"))
+    one = o.select(F.explode(F.create_map("o_custkey", "v")).alias("video_id", "v"))
     return one.select("video_id", F.posexplode("v").alias("p", "slide")).select("video_id", (F.col("p") + 1).cast("long").alias("index"), "slide")
 
 

@@ -29,10 +29,11 @@ def query(sql: str | None = None, name: str | None = None):
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as ordered signals: (video_id, event_id, frame_index, t, signal, label, event_type)."""
     epoch = "unix_micros(cast(timestamp_ntz '1970-01-01 00:00:00' as timestamp))"
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # renamed below the window, so that windows and joins by video_id reuse its exchange
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "video_id")
+    w = Window.partitionBy("video_id").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("video_id"),
+        "video_id",
         "event_id",
         (F.row_number().over(w) - 1).cast("long").alias("frame_index"),
         (F.expr(f"unix_micros(cast(ts as timestamp)) - {epoch}") / F.lit(1e6)).alias("t"),

@@ -182,7 +182,7 @@ SELECT video_id, cluster::BIGINT AS cluster, n, max(CASE WHEN n_ok > 0 AND k = 1
 def burst_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features exist for rows that are no errors only, so that some bursts fall back to their middle."""
     f = frames(spark, sf_dir)
-    return cluster.burst_representative(cluster.bursts(f, HOUR * 4), f.where("label = 0"), "signal").select("video_id", "cluster", "n", "t", "signal")
+    return cluster.burst_representative(f, HOUR * 4, "signal", F.col("label") == 0).select("video_id", "cluster", "n", "t", "signal")
 
 
 @query(f"""WITH {FRAMES}, hits AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER (PARTITION BY video_id ORDER BY frame_index) <= 2 THEN 0 ELSE 1 END AS fresh FROM frames WHERE label = 1),
