@@ -1,5 +1,6 @@
 """Hand-made cases with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,83 @@ def test_failing_model_costs_one_row(spark):
 
     out = spark.createDataFrame([("ok",), ("bad",)], "p string").select(write_notes(factory)("p").alias("n"))
     assert [r.n for r in out.collect()] == ["OK", "stub: bad"]
+
+
+def test_spacing_by_loops():
+    rng = np.random.default_rng(3)
+    for gap in (0.1, 0.5, 3.0):
+        times = np.unique(np.round(rng.random(300) * 30, 1))
+        kept, last = [], None
+        for k, t in enumerate(times):
+            if last is None or t - last >= gap:
+                kept.append(k)
+                last = t
+        assert cluster.spaced_out(times, gap).tolist() == kept
+
+
+def test_matching_by_loops():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        times, wanted = np.round(rng.random(rng.integers(0, 30)) * 9, 1), np.round(rng.random(rng.integers(0, 30)) * 9, 1)
+        free, hits = list(range(len(times))), 0
+        for x in wanted:
+            hit = next((k for k in free if abs(times[k] - x) <= 0.3), None)
+            if hit is not None:
+                free.remove(hit)
+                hits += 1
+        assert evaluate._matches(times, wanted, 0.3) == hits
+
+
+def test_auc_by_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 3 else "b", float(np.round(rng.normal() * 3, 1)), int(rng.random() < 0.4)) for i in range(400)] + [("c", 1.0, 1)]
+    got = {r.k: r.auc for r in evaluate.roc_auc(spark.createDataFrame(rows, "k string, s double, label int"), "s", "label", "k").collect()}
+    for key in "ab":
+        pos = [s for k, s, y in rows if k == key and y]
+        neg = [s for k, s, y in rows if k == key and not y]
+        assert abs(got[key] - np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])) < 1e-12
+    assert got["c"] is None
+
+
+WINDOWED = "nms_smooth rolling_stats10 decay_slope minmax_scale burst_groups burst_representative min_gap_filter tolerance_match lag_change".split()
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_window_queries_shuffle_once(spark, name):
+    from tidemark.plans import catalogue
+
+    if name not in catalogue.QUERIES:
+        pytest.skip("no such query")
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in plan
+
+
+def test_keys_move_and_mark(spark):
+    keys = spark.createDataFrame([("a", i, k) for i, k in enumerate("ynUdaaNqy")] + [("b", 0, "x")], "video_id string, frame_index long, k string")
+    got = {}
+    for r in sequential.press_keys(keys, 4, "frame_index", "k").orderBy("slide").collect():
+        got.setdefault(r.video_id, []).append(r.keep)
+    assert got == {"a": [True, False, False, True], "b": [True] * 4}
+
+
+def test_stream_of_cleaner_slides(spark, tmp_path):
+    from tidemark.streaming import sessions
+
+    rows = [(1, "2024-01-01 00:00:01", [1.0, 0.0], 5.0), (1, "2024-01-01 00:00:02", [1.0, 0.01], 3.0), (1, "2024-01-01 00:00:03", [1.0, 0.02], 4.0), (1, "2024-01-01 00:00:04", [0.0, 1.0], 9.0)]
+    df = spark.createDataFrame(rows, "video_id long, at string, vector array<double>, penalty double").withColumn("at", F.to_timestamp("at"))
+    df.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = sessions.run_to_end(sessions.accepted(events, 0.9, "cleaner"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [r.action for r in out.orderBy("t").collect()] == ["keep", "replace", "drop", "keep"]
+    with pytest.raises(ValueError):
+        sessions.accepted(events, 0.9, "oldest")
+
+
+def test_gallery_pages_are_bounded(spark):
+    from tidemark.functions import pages
+
+    df = spark.range(7).select(F.lit("v<1>").alias("video_id"), (F.col("id") + 1).alias("index"), F.lit('a "b"').alias("caption"), F.lit(b"PNG").alias("picture"), F.lit("image/png").alias("kind"))
+    rows = pages.gallery_pages(df, 3).orderBy("page").collect()
+    assert [r.html.count("<figure") for r in rows] == [3, 3, 1] and 'src="data:image/png;base64,UE5H" alt="a &quot;b&quot;"' in rows[0].html

@@ -77,3 +77,12 @@ def test_model_saves_and_loads(spark, tmp_path):
     again = model.predict(model.load(str(tmp_path / "m")), df, 0.5)
     assert again.where("label <> prediction").count() == 0
     assert model.importances(spark, fitted, ["x"]).first().feature == "x"
+
+
+def test_versions_of_a_model_keep_their_feature_names(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), float(-i), int(i > 20)) for i in range(40)], "x double, y double, label int")
+    fitted = model.fit(df, ["y", "x"], trees=1, depth=2)
+    one, two = model.save_version(fitted, ["y", "x"], str(tmp_path)), model.save_version(fitted, ["y", "x"], str(tmp_path))
+    assert one != two
+    again, names = model.load_version(one)
+    assert names == ["y", "x"] and model.predict(again, df, 0.5).count() == 40

@@ -6,6 +6,8 @@ factories at the end wrap kernels for columns of raw bytes, one Arrow batch at a
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -93,10 +95,28 @@ def resize_nearest(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return image[rows][:, columns]
 
 
+def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at another size: pixel centres mapped back, four neighbours weighted, borders repeated, rounded to nearest."""
+    if image.shape[:2] == (height, width):
+        return image
+
+    def taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(m) + 0.5) * n / m - 0.5
+        low = np.floor(at).astype(np.int64)
+        return np.clip(low, 0, n - 1), np.clip(low + 1, 0, n - 1), np.where(low < 0, 0.0, at - low)
+
+    y0, y1, fy = taps(image.shape[0], height)
+    x0, x1, fx = taps(image.shape[1], width)
+    x = image.astype(np.float64)
+    fy, fx = (fy[:, None, None], fx[None, :, None]) if x.ndim == 3 else (fy[:, None], fx[None, :])
+    rows = x[y0] * (1 - fy) + x[y1] * fy
+    return np.floor(rows[:, x0] * (1 - fx) + rows[:, x1] * fx + 0.5).astype(image.dtype)
+
+
 def board_ssim(current: np.ndarray, other: np.ndarray) -> float:
     """SSIM of the grays with the current frame's skin pixels blanked in both; other takes current's size."""
     if other.shape != current.shape:
-        other = resize_nearest(other, *current.shape[:2])
+        other = resize_bilinear(other, *current.shape[:2])
     board = ~in_ranges(hsv(current), SKIN_MASK)
     return ssim(gray(current) * board, gray(other) * board)
 
@@ -104,7 +124,7 @@ def board_ssim(current: np.ndarray, other: np.ndarray) -> float:
 def smaller_ssim(a: np.ndarray, b: np.ndarray) -> float:
     """SSIM at the smaller height and width of both."""
     h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
-    return ssim(resize_nearest(gray(a), h, w), resize_nearest(gray(b), h, w))
+    return ssim(resize_bilinear(gray(a), h, w), resize_bilinear(gray(b), h, w))
 
 
 def mse(a: np.ndarray, b: np.ndarray) -> float:
@@ -199,11 +219,82 @@ def edge_score(image: np.ndarray) -> tuple[float, float]:
     return float(edges.mean()), 0.5 if mean == 0 else float(max(1 - cells.std() / (mean + 1e-6) / 2, 0.3))
 
 
+def _blurred(image: np.ndarray, size: int) -> np.ndarray:
+    """Gaussian mean over size x size with the deviation that belongs to the size, borders repeated."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    bell = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
+    bell /= bell.sum()
+    p = np.pad(image.astype(np.float64), size // 2, mode="edge")
+    rows = sum(w * p[k : k + image.shape[0]] for k, w in enumerate(bell))
+    return sum(w * rows[:, k : k + image.shape[1]] for k, w in enumerate(bell))
+
+
 def adaptive_binary(image: np.ndarray, size: int = 11, offset: float = 2) -> np.ndarray:
-    """Mean-adaptive threshold as used ahead of text recognition: 255 above the neighbourhood mean less offset."""
+    """Gaussian-adaptive threshold as used ahead of text recognition: 255 above the neighbourhood's rounded mean less offset."""
+    g = gray(image)
+    return np.where(g > np.floor(_blurred(g, size) + 0.5) - offset, 255, 0).astype(np.uint8)
+
+
+def denoise(image: np.ndarray, strength: float = 10, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Non-local means of a gray image: each pixel is the mean of its search window, weighted by how alike the patches around are.
+
+    A weight is exp(-d / strength^2) of the mean squared difference d of two patches. One pass per
+    displacement over the whole image; memory is a few images.
+    """
     g = gray(image).astype(np.float64)
-    mean = _box(np.pad(g, size // 2, mode="edge"), size)
-    return np.where(g > mean - offset, 255, 0).astype(np.uint8)
+    h, w = g.shape
+    p, r = patch // 2, search // 2
+    wide = np.pad(g, p + r, mode="reflect" if min(h, w) > p + r else "symmetric" if min(h, w) >= p + r else "edge")
+    own = wide[r : r + h + 2 * p, r : r + w + 2 * p]
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + h + 2 * p, dx : dx + w + 2 * p]
+            weight = np.exp(-_box((own - other) ** 2, patch) / strength**2)
+            total += weight * other[p : p + h, p : p + w]
+            weights += weight
+    return np.clip(np.floor(total / weights + 0.5), 0, 255).astype(np.uint8)
+
+
+def clahe(image: np.ndarray, clip: float = 2.0, tiles: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """Contrast-limited histogram equalisation: a clipped histogram per tile, its curves blended between tile centres."""
+    g = gray(image)
+    h, w = g.shape
+    ny, nx = tiles
+    th, tw = -(-h // ny), -(-w // nx)
+    p = np.pad(g, ((0, th * ny - h), (0, tw * nx - w)), mode="reflect" if h > th * ny - h and w > tw * nx - w else "edge")
+    cells = p.reshape(ny, th, nx, tw).transpose(0, 2, 1, 3).reshape(ny * nx, th * tw)
+    counts = np.stack([np.bincount(c, minlength=256) for c in cells])
+    limit = max(int(clip * th * tw / 256), 1)
+    over = np.maximum(counts - limit, 0).sum(axis=1)
+    counts = np.minimum(counts, limit) + (over // 256)[:, None]
+    # what is left over goes to every so many bins
+    for cell, rest in enumerate((over % 256).tolist()):
+        if rest:
+            counts[cell, :: max(256 // rest, 1)][:rest] += 1
+    curves = np.floor(counts.cumsum(axis=1) * (255 / (th * tw)) + 0.5).clip(0, 255).reshape(ny, nx, 256)
+    y, x = np.arange(h) / th - 0.5, np.arange(w) / tw - 0.5
+    y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    at = lambda a, b: curves[np.clip(y0 + a, 0, ny - 1)[:, None], np.clip(x0 + b, 0, nx - 1)[None, :], g]
+    blended = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return np.floor(blended + 0.5).clip(0, 255).astype(np.uint8)
+
+
+def for_recognition(image: np.ndarray) -> np.ndarray:
+    """A frame made ready for text recognition: gray, denoised, contrast raised, thresholded."""
+    return adaptive_binary(clahe(denoise(gray(image))))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A gray or colour (blue, green, red) frame as a PNG file."""
+    h, w = image.shape[:2]
+    samples = image if image.ndim == 2 else image[..., ::-1]
+    lines = np.concatenate((np.zeros((h, 1), np.uint8), samples.reshape(h, -1)), axis=1)  # filter 0 before each line
+    # Signature and chunk names of the format.
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
 def decode(data, height: int, width: int) -> np.ndarray:
@@ -231,3 +322,13 @@ def pair_udf(kernel: Callable[[np.ndarray, np.ndarray], float], missing: float):
         return pd.Series([missing if o is None or d is None else float(kernel(decode(d, h, w), decode(o, h, w))) for d, o, h, w in zip(data, other, height, width, strict=True)], dtype="float64")
 
     return run
+
+
+def png_udf():
+    """A pandas UDF (data, height, width) -> PNG bytes."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([png(decode(d, h, w)) if d is not None else None for d, h, w in zip(data, height, width, strict=True)], dtype="object")
+
+    return run

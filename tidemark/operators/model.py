@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -43,3 +45,22 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_version(model: PipelineModel, features: list[str], root: str) -> str:
+    """The model and its ordered feature names in a new folder under root, named by the time; returns its path.
+
+    Earlier versions stay. The names are one text file beside the model, written through Spark, so any store will do.
+    """
+    spark = SparkSession.getActiveSession()
+    path = f"{root}/transition_classifier_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}"
+    save(model, f"{path}/model")
+    spark.createDataFrame([("\n".join(features),)], "value string").coalesce(1).write.text(f"{path}/features")
+    return path
+
+
+def load_version(path: str) -> tuple[PipelineModel, list[str]]:
+    """(model, feature names) of a folder that save_version() made."""
+    spark = SparkSession.getActiveSession()
+    names = spark.read.text(f"{path}/features", wholetext=True).first()["value"]
+    return load(f"{path}/model"), names.strip("\n").split("\n")

@@ -11,7 +11,9 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .fold import fold
 from .windows import PART
 
 
@@ -99,6 +101,28 @@ def keep_cleaner(df: DataFrame, threshold: float, order: str, vector: str, penal
     return _fold(df, step, f"{order} {kind}, audio_start {kind}, audio_end {kind}", part)
 
 
+def press_keys(df: DataFrame, slides: int, order: str, key: str, part: str = PART) -> DataFrame:
+    """(entity, slide, keep) of `slides` slides, numbered from 1 and kept at first, after the keys of df in order.
+
+    y and n mark the slide in hand and go on to the next, u turns its mark, d goes on, a goes
+    back, never beyond the ends; s and q end the session; other keys do nothing.
+    """
+
+    def step(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        keep, at = np.ones(slides, bool), 0
+        for k in values[key]:
+            if k in ("s", "q"):
+                break
+            if k == "u":
+                keep[at] = not keep[at]
+            elif k in ("y", "n"):
+                keep[at] = k == "y"
+            at = min(at + 1, slides - 1) if k in ("y", "n", "d") else max(at - 1, 0) if k == "a" else at
+        return {"slide": np.arange(1, slides + 1), "keep": keep}
+
+    return fold(df.select(part, order, F.lower(key).alias(key)), part, [order], step, f"{part} {df.schema[part].dataType.simpleString()}, slide long, keep boolean")
+
+
 def curate(df: DataFrame, threshold: float, order: str, vector: str, part: str = PART, similarity=cosine) -> DataFrame:
     """Items with keep: false at or above threshold against the last kept item of the same shape."""
 

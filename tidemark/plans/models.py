@@ -13,6 +13,7 @@ from ..functions.external import python_round
 from ..operators import evaluate, model, windows
 from ..streaming import sessions
 from .registry import FRAMES, frames, query
+from .slides import SLIDE_SEQUENCE
 
 _INPUTS = ["signal", "change", "rolling_mean", "rolling_std", "rolling_max"]
 
@@ -68,7 +69,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     """An output and a checkpoint path in the shared folder of the session."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="tidemark-")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     return f"{path}/out", f"{path}/state"
 
@@ -89,6 +93,35 @@ def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "t", F.round("change", 6).alias("change"), F.round("rolling_mean", 6).alias("rolling_mean"), "rolling_max")
 
 
+def _slide_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.LongType())])
+    found = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
+    return found.select(F.col("label").alias("video_id"), F.timestamp_micros(F.col("vec_id") * 1_000_000).alias("at"), "embedding", "vec_id")
+
+
+@query(f"""WITH RECURSIVE {SLIDE_SEQUENCE}, w AS (SELECT video_id, k, vec_id, e AS le, vec_id AS lid, TRUE AS kept FROM s WHERE k = 1 UNION ALL
+SELECT video_id, k, vec_id, CASE WHEN ok THEN ne ELSE le END, CASE WHEN ok THEN vec_id ELSE lid END, ok FROM (SELECT *, c < CASE WHEN vec_id - lid < 12 THEN 0.25 ELSE 0.15 END AS ok
+FROM (SELECT w.video_id, s.k, s.vec_id, s.e AS ne, w.le, w.lid, list_cosine_similarity(w.le, s.e) AS c FROM w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1)))
+SELECT video_id, vec_id FROM w WHERE kept""")
+def stream_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential deduplication as a stream, its accepted slides."""
+    events = _slide_stream(spark, sf_dir).withColumnRenamed("embedding", "vector")
+    out = sessions.run_to_end(sessions.accepted(events, 0.15, "first", 0.25, 12.0), *_folders(spark, "first"))
+    return out.where("action = 'keep'").select(F.col("video_id").cast("int").alias("video_id"), F.col("t").cast("long").alias("vec_id"))
+
+
+@query(f"""WITH RECURSIVE {SLIDE_SEQUENCE}, w AS (SELECT video_id, k, [vec_id] AS ids, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE e END AS le FROM s WHERE k = 1 UNION ALL
+SELECT w.video_id, s.k, CASE WHEN s.vec_id % 11 <> 0 AND w.le IS NOT NULL AND list_cosine_similarity(w.le, s.e) >= 0.1 THEN list_append(list_filter(w.ids, lambda x: x <> w.lid), s.vec_id) ELSE list_append(w.ids, s.vec_id) END,
+CASE WHEN s.vec_id % 11 = 0 THEN w.le ELSE s.e END FROM (SELECT *, list_last(list_filter(ids, lambda x: x % 11 <> 0)) AS lid FROM w) w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1),
+z AS (SELECT video_id, ids, row_number() OVER (PARTITION BY video_id ORDER BY k DESC) AS r FROM w) SELECT video_id, unnest(ids) AS vec_id FROM z WHERE r = 1""")
+def stream_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of each run of like slides, from a stream of decisions; slides without an image stay."""
+    events = _slide_stream(spark, sf_dir).select("video_id", "at", F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("vector"))
+    out = sessions.run_to_end(sessions.accepted(events, 0.1, "latest"), *_folders(spark, "latest"))
+    gone = out.where("action = 'replace'").select("video_id", F.col("instead_of").alias("t"))
+    return out.where("action <> 'drop'").join(gone, ["video_id", "t"], "left_anti").select(F.col("video_id").cast("int").alias("video_id"), F.col("t").cast("long").alias("vec_id"))
+
+
 @query()
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions whose end the watermark has passed when the input ends."""

@@ -26,7 +26,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PX = """px AS (SELECT label AS video_id, vec_id, i, i % 8 AS x, i // 8 AS y, least(255, greatest(0, floor((e::DOUBLE + 0.6) * 200)))::INT AS v
     FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
-_SEQ = "s AS (SELECT label AS video_id, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)"
+SLIDE_SEQUENCE = _SEQ = "s AS (SELECT label AS video_id, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)"
 
 
 def _sum(a: Column) -> Column:
