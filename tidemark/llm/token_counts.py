@@ -20,7 +20,7 @@ gives an empty result. Texts are counted whole; memory is linear in the longest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import add
 
 import numpy as np
@@ -40,6 +40,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF, SHARED = 16, 8
 #: Pre-tokens to a leaf of a new tree.
 PLANTED = 4
+#: Pre-tokens whose counts a worker keeps; a full cache is emptied.
+KNOWN = 600_000
 EDITS = 3
 SEED = 31
 _split = regex.compile(PATTERN)
@@ -55,14 +57,22 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def counts(self, pieces: list[str]) -> list[int]:
+        try:
+            return list(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return list(map(self.learn(pieces).__getitem__, pieces))
+
+    def learn(self, pieces: Iterable[str]) -> dict[str, int]:
+        """Counts of at least these pre-tokens; many new ones are encoded as columns, the few of an edit as they are."""
         known = self.known
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > 600_000:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self.encoder.units(pa.array(new, pa.string()))[2].tolist(), strict=True))
-        return [known[p] for p in pieces]
+        pieces = set(pieces)
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = list(pieces)
+        sizes = self.encoder.units(pa.array(new, pa.string()))[2].tolist() if len(new) > 64 else map(len, self.encoder.whole(new))
+        known.update(zip(new, sizes, strict=True))
+        return known
 
 
 def counter(path: str) -> Counter:
@@ -233,7 +243,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in slices(batches, 256):
             texts = batch.column("text").to_pylist()
             pieces = [_split.findall(t or "") for t in texts]
-            own.counts(list(set().union(*pieces)))  # new pre-tokens of all texts at once
+            own.learn(set().union(*pieces))  # new pre-tokens of all texts at once
             rows = [
                 count_document(t, [(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in edits or []], own, p)
                 for t, edits, p in zip(texts, batch.column("edits").to_pylist(), pieces, strict=True)
