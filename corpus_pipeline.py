@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, quality_rules, secret_scan, sentencepiece_codec, simhash
-from tidemark.llm.simple8b import shared_path
+from tidemark.llm.common import shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
