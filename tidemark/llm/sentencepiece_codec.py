@@ -9,7 +9,8 @@ drops the leading one.
 
 The public vocabulary file ranks its pieces instead of giving probabilities, and tokenizers
 are not trained here: log scores follow from rank r by Zipf's law, -log((r + 1) * H)
-with H the harmonic sum over all pieces.
+with H the harmonic sum over all pieces. The file's own text normaliser is not applied, for decoding is to give
+the text back exactly: no Unicode folding, and spaces stay as many as they are.
 
 No piece crosses the boundary before a marker that follows something else, nor one next
 to a line break, so paths of the units between such boundaries join to the path of the
@@ -23,9 +24,12 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from .common import documents, slices
 MARKER = "▁"
 #: Below the least score of a piece.
 UNKNOWN = 10.0
-CACHE_UNITS = 200_000
+CACHE_UNITS = 500_000
 _LONGEST_CACHED = 64
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
@@ -124,46 +128,68 @@ class Codec:
             self.score[i] = -math.log((rank + 1) * h)
         self.unknown = min(self.score) - UNKNOWN
         self.trie = DoubleArray({self.raw[i]: i for i in pieces})
+        #: Characters that are pieces, bytes of each piece, bytes of the longest.
+        self.alone = {self.raw[i] for i in pieces if len(self.raw[i].decode()) == 1}
+        self.size = list(map(len, self.raw))
+        self.longest = max(self.size)
+        #: Ids of marks that no piece holds behind a letter: paths never cross the boundary between the two.
+        joined = {b for i in pieces for a, b in pairwise(self.raw[i].decode()) if a.isalpha()}
         self.known: dict[str, bytes] = {}
+        self.ends = {m: self.viterbi(m.encode()) for m in string.punctuation if m not in joined}
         if any(re.search(r"[^ ] |\n", self.raw[i].decode()) for i in pieces):
             raise ValueError("a piece crosses a unit's boundary")
 
-    def viterbi(self, s: bytes) -> list[int]:
-        """Ids of the best path over s, where a space stands for the marker."""
-        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+    def viterbi(self, s: bytes) -> bytes:
+        """Ids (little-endian unsigned 32-bit integers) of the best path over s, where a space stands for the marker."""
+        base, check, value, score, longest = self.trie.base, self.trie.check, self.trie.value, self.score, self.longest
+        alone, unknown = self.alone, self.unknown
         n = len(s)
         best = [-math.inf] * (n + 1)
         best[0] = 0.0
-        back, piece = [0] * (n + 1), [-1] * (n + 1)
+        #: The piece that ends the best path to each place; minus the bytes of a character without one.
+        last = [0] * (n + 1)
         i = 0
         while i < n:
             c = s[i]
-            after = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
-            here, node, single = best[i], 0, False
-            for j in range(i, n):
-                t = base[node] + s[j] + 1
+            here, node, j = best[i], 0, i
+            for x in s[i : i + longest]:
+                j += 1
+                t = base[node] + x + 1
                 if check[t] != node:
                     break
                 node = t
                 p = value[t]
                 if p >= 0:
                     total = here + score[p]
-                    if total > best[j + 1]:
-                        best[j + 1], back[j + 1], piece[j + 1] = total, i, p
-                    single = single or j + 1 == after
-            if not single and here + self.unknown > best[after]:
-                best[after], back[after], piece[after] = here + self.unknown, i, -1
-            i = after
+                    if total > best[j]:
+                        best[j], last[j] = total, p
+            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            i += width
+            if here + unknown > best[i] and s[i - width : i] not in alone:
+                best[i], last[i] = here + unknown, -width
         out: list[int] = []
+        size = self.size
         while n:
-            b = back[n]
-            if piece[n] >= 0:
-                out.append(piece[n])
+            p = last[n]
+            if p >= 0:
+                out.append(p)
+                n -= size[p]
             else:
-                out.extend(self.byte_ids[c] for c in reversed(s[b:n]))
-            n = b
+                out.extend([self.byte_ids[c] for c in reversed(s[n + p : n])])
+                n += p
         out.reverse()
-        return out
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _unit(self, u: str) -> bytes:
+        """Ids of one unit; a mark behind a letter is a path of its own, so words share theirs with and without it."""
+        if u[-1:] in self.ends and u[-2:-1].isalpha():
+            stem = self.known.get(u[:-1])
+            if stem is None:
+                stem = self.viterbi(u[:-1].encode(errors="surrogatepass"))
+                if len(u) <= _LONGEST_CACHED:
+                    self.known[u[:-1]] = stem
+            return stem + self.ends[u[-1]]
+        return self.viterbi(u.encode(errors="surrogatepass"))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -173,10 +199,13 @@ class Codec:
             units = _UNITS.findall(" " + text)
         else:
             units = (" " + text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known, long = self.known, {}
-        for u in set(units).difference(known):
-            (long if len(u) > _LONGEST_CACHED else known)[u] = np.array(self.viterbi(u.encode(errors="surrogatepass")), "<u4").tobytes()
-        out = b"".join([long[u] if u in long else known[u] for u in units] if long else map(known.__getitem__, units))
+        found = list(map(self.known.get, units))
+        try:
+            return b"".join(found)
+        except TypeError:  # units not seen before
+            new = {u: self._unit(u) for u in {u for u, ids in zip(units, found, strict=True) if ids is None}}
+        out = b"".join([new[u] if ids is None else ids for u, ids in zip(units, found, strict=True)])
+        self.known.update(new if len(text) <= _LONGEST_CACHED else (x for x in new.items() if len(x[0]) <= _LONGEST_CACHED))
         if len(self.known) > CACHE_UNITS:
             self.known = {}
         return out
