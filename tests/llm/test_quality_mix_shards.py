@@ -54,6 +54,15 @@ def test_quality_keeps_columns_and_clean_rows(spark, tricky, nothing):
     assert {r.doc_id for r in kept.collect()} >= {1, 6}
     assert {r.n_words for r in kept.collect()} == {1}
     assert quality_rules.keep_good(nothing).count() == 0
+    named = tricky.withColumns({c: F.lit("own") for c in ("_w", "_l", "_row")})
+    assert quality_rules.apply_rules(named).where("_w = 'own' and _l = 'own'").count() == tricky.count()
+    good = quality_rules.keep_good(named)
+    assert good.columns == named.columns and good.count() == quality_rules.keep_good(tricky).count()
+
+
+def test_keep_good_computes_its_measures_once(docs):
+    plan = quality_rules.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64") == 1 and plan.count("split(") == 2
 
 
 def targets(sizes):
@@ -234,3 +243,14 @@ def test_rows_of_one_id_are_rounded_one_by_one(spark):
     assert all(abs(taken[s] - want[s]) <= 3.5 + 1e-6 for s in want)
     out = Counter(r.source for r in mixing.apply_mix(df).collect())
     assert all(abs(out[s] * n - want[s]) <= 3.5 + 1e-6 for s, n in (("s", 3), ("t", 7), ("u", 2)))
+
+
+def test_equal_texts_with_other_columns_share_their_copies(spark):
+    df = spark.range(500).select(F.lit("s").alias("source"), F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 7).alias("n"))
+    df = df.unionByName(spark.range(900).select(F.lit("t").alias("source"), F.lit(8).cast("long").alias("doc_id"), F.lit("d e").alias("text"), F.lit(0).cast("long").alias("n")))
+    copies = Counter()
+    for r in mixing.mix_copies(mixing.sized(df)).collect():
+        copies[r.source] += r.copies
+    out = mixing.apply_mix(df).collect()
+    assert Counter(r.source for r in out) == copies
+    assert len({r.n for r in out if r.source == "s"}) == 7

@@ -9,7 +9,7 @@ BLOCK documents by seeded hash; their residuals meet in the next level of a redu
 tree with the same fan-in, until one residual per source is left, which is rounded to the nearer side: a
 source's words differ from its target by half a document at most.
 
-A unit is one row. Rows equal in source, doc_id and text (in apply_mix(): in every column) are counted
+A unit is one row. Rows equal in source, doc_id and text are counted
 first, with partial sums on the map side, and told apart by number, so that repeated and null ids are rounded row
 by row and a hot key is one row to each task. Edge cases: null text has
 size 0; null source is a source of its own, last in order; sizes of zero take nothing;
@@ -101,11 +101,12 @@ def round_fractions(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> D
     return found.unionByName(last)
 
 
-def _each(counted: DataFrame) -> DataFrame:
-    """counted (source, id, size, rows) with a row per row, told apart by its number in the id; many rows in stretches."""
+def _each(counted: DataFrame, *more: str) -> DataFrame:
+    """counted (source, id, size, rows and perhaps first, the number before the first) with a row per row, told apart by its number in the id; many rows in stretches."""
+    first = F.col("first") if "first" in counted.columns else F.lit(0).cast("long")
     stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / STRETCH)))
-    number = F.explode(F.sequence(F.col("stretch") * STRETCH, F.least(F.col("rows"), (F.col("stretch") + 1) * STRETCH) - 1))
-    return counted.withColumn("stretch", stretch).withColumn("number", number).select("source", F.struct("id", "number").alias("id"), "size")
+    number = F.explode(F.sequence(first + F.col("stretch") * STRETCH, first + F.least(F.col("rows"), (F.col("stretch") + 1) * STRETCH) - 1))
+    return counted.withColumn("stretch", stretch).withColumn("number", number).select("source", F.struct("id", "number").alias("id"), "size", *more)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -145,15 +146,30 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return durable(docs.select("source", "doc_id", word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("digest")))
 
 
+def _variants(rows: DataFrame) -> DataFrame:
+    """(source, id, size, rest, rows, first): rows counted, and how many of the same source and id come in front of them.
+
+    Sums run within parts of an id's variants and then over its parts, of which there are STRETCH at most.
+    """
+    counted = durable(rows.groupBy("source", F.struct("doc_id", "digest").alias("id"), "size", "rest").agg(F.count("*").alias("rows")))
+    own = counted.withColumn("part", F.pmod("rest", F.lit(STRETCH))).withColumn("k", F.struct("source", "id"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = own.groupBy("k", "part").agg(F.sum("rows").alias("n")).select("k", "part", before(Window.partitionBy("k").orderBy("part"), "n").alias("outer"))
+    inner = own.withColumn("inner", before(Window.partitionBy("k", "part").orderBy("rest"), "rows"))
+    return durable(inner.join(parts, ["k", "part"]).select("source", "id", "size", "rest", "rows", (F.col("outer") + F.col("inner")).alias("first")))
+
+
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows equal in every column share the copies that all of them get."""
+    """docs with each row as often as mix_copies() takes it; rows equal in every column share the copies that all of them get."""
     named = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.struct(F.col("source"), F.col("doc_id"), F.xxhash64(*named).alias("digest"))
-    counted = _counted(durable(docs.select(F.col("source"), F.col("doc_id"), key["digest"].alias("digest"), word_count(F.col("text")).alias("size"))))
+    key = F.struct(F.col("source"), F.col("doc_id"), F.xxhash64("text").alias("digest"), F.xxhash64(*named).alias("rest"))
+    variants = _variants(durable(docs.select(key.alias("k"), word_count(F.col("text")).alias("size")).select("k.*", "size")))
+    counted = variants.groupBy("source", "id", "size").agg(F.sum("rows").alias("rows"))
     rates = _rates(counted)
-    taken = _takes(_each(counted), rates, seed).groupBy("source", F.col("id.id").alias("id")).agg(F.sum("take").alias("take"))
-    some = counted.alias("d").join(taken.alias("k"), _same("d", "k", "source", "id"), "left").join(rates.alias("r"), _same("d", "r", "source"))
-    copies = some.select(F.struct("d.source", "d.id.doc_id", "d.id.digest").alias("k"), (F.col("r.whole") * F.col("d.rows") + F.coalesce("k.take", F.lit(0))).alias("copies")).where("copies > 0")
+    takes = _takes(_each(counted), rates, seed).where("take > 0")
+    taken = _each(variants, "rest").alias("d").join(takes.alias("k"), _same("d", "k", "source", "id")).groupBy("d.source", F.col("d.id.id").alias("id"), "d.rest").agg(F.count("*").alias("take"))
+    some = variants.alias("d").join(taken.alias("k"), _same("d", "k", "source", "id", "rest"), "left").join(rates.alias("r"), _same("d", "r", "source"))
+    copies = some.select(F.struct("d.source", "d.id.doc_id", "d.id.digest", "d.rest").alias("k"), (F.col("r.whole") * F.col("d.rows") + F.coalesce("k.take", F.lit(0))).alias("copies")).where("copies > 0")
     # equal rows meet as one, on the map side already, and leave as often as they are taken, in stretches
     distinct = docs.select(key.alias("k"), F.struct(*named).alias("row")).groupBy("k").agg(F.first("row").alias("row"))
     stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STRETCH)))
