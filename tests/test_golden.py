@@ -137,6 +137,21 @@ def test_failing_model_costs_one_row(spark):
     assert [r.n for r in out.collect()] == ["OK", "stub: bad"]
 
 
+def test_failures_of_outside_models_are_told(spark):
+    from tidemark.functions.external import recognise
+
+    def factory():
+        def call(image):
+            if image == b"bad":
+                raise ValueError("no image")
+            return {"text": "seen", "confidence": 0.5, "blocks": []}
+
+        return call
+
+    df = spark.createDataFrame([(b"ok",), (b"bad",)], "i binary").select(recognise(factory)("i").alias("r"))
+    assert [(r.r.text, r.r.error) for r in df.collect()] == [("seen", None), ("", "ValueError: no image")]
+
+
 def test_spacing_by_loops():
     rng = np.random.default_rng(3)
     for gap in (0.1, 0.5, 3.0):

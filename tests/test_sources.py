@@ -20,6 +20,9 @@ def test_features_round_trip(spark, tmp_path):
     assert got.first().video_id == "lec_1"
     writers.write_features(got, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    hot = spark.range(200).selectExpr("'a' as video_id", "id")
+    writers.write_features(hot, str(tmp_path / "hot"), files=4)
+    assert 1 <= len(list((tmp_path / "hot" / "video_id=a").glob("*.parquet"))) <= 4 and spark.read.parquet(str(tmp_path / "hot")).count() == 200
 
 
 def test_transitions_of_both_versions(spark, tmp_path):

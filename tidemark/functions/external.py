@@ -1,18 +1,22 @@
 """Outside models as columns: recognisers, transcribers and writers plug in as plain functions.
 
 A model is built once per task by its factory and called per row inside an Arrow batch; a call
-that fails gives the fallback, so that one bad input costs one row.
+that fails gives the fallback, so that one bad input costs one row. The failure is logged, and stands in the
+field error of struct results (null where the call went well).
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-RECOGNISED = "struct<text string, confidence double, blocks array<struct<text string, confidence double, y_position double>>>"
-SPOKEN = "struct<language string, full_text string, segments array<struct<start double, `end` double, text string>>>"
+_log = logging.getLogger(__name__)
+
+RECOGNISED = "struct<text string, confidence double, blocks array<struct<text string, confidence double, y_position double>>, error string>"
+SPOKEN = "struct<language string, full_text string, segments array<struct<start double, `end` double, text string>>, error string>"
 
 
 def _guarded(factory: Callable[[], Callable], kind: str, fallback: Callable):
@@ -22,9 +26,11 @@ def _guarded(factory: Callable[[], Callable], kind: str, fallback: Callable):
             rows = []
             for v in values:
                 try:
-                    rows.append(model(v))
-                except Exception:
-                    rows.append(fallback(v))
+                    row, error = model(v), None
+                except Exception as failure:  # whatever an outside model raises
+                    row, error = fallback(v), f"{type(failure).__name__}: {failure}"
+                    _log.warning("outside model failed: %s", error)
+                rows.append(row if kind == "string" else {**row, "error": error})
             yield pd.Series(rows, dtype="object") if kind == "string" else pd.DataFrame(rows)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series if kind == "string" else pd.DataFrame]}

@@ -115,13 +115,19 @@ def decode_npy(content: bytes) -> tuple[np.ndarray, float]:
 FRAME_SCHEMA = "video_id string, frame_no long, sample long, t double, height int, width int, data binary"
 
 
+#: Bytes of frames that leave a scan at once.
+BATCH_BYTES = 1 << 24
+
+
 def scan_frames(files: DataFrame, decoder: Callable[[bytes], tuple[np.ndarray, float]] = decode_npy, target_fps: float = 5.0) -> DataFrame:
     """Sampled frames of media files (path, content): every max(1, int(fps / target))-th one.
 
-    A file is decoded in one task and its frames leave one by one; a file that cannot be decoded
+    A file is decoded in one task and its frames leave in batches of about BATCH_BYTES; a file that cannot be decoded
     raises with its path. Other formats come with their own decoder.
     """
 
+    columns = ["video_id", "frame_no", "sample", "t", "height", "width", "data"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in batch[["path", "content"]].itertuples(index=False):
@@ -131,8 +137,15 @@ def scan_frames(files: DataFrame, decoder: Callable[[bytes], tuple[np.ndarray, f
                     raise ValueError(f"cannot decode {path}") from error
                 skip = max(1, int(fps / target_fps))
                 name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows, held = [], 0
                 for k, n in enumerate(range(0, len(frames), skip)):
                     f = frames[n]
-                    yield pd.DataFrame({"video_id": [name], "frame_no": [n], "sample": [k], "t": [n / fps], "height": [f.shape[0]], "width": [f.shape[1]], "data": [f.astype(np.uint8).tobytes()]})
+                    rows.append((name, n, k, n / fps, f.shape[0], f.shape[1], f.astype(np.uint8).tobytes()))
+                    held += len(rows[-1][-1])
+                    if held >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_features(df: DataFrame, path: str, format: str = "parquet", part: str = "video_id") -> None:
-    """One folder per entity; hot entities may take several files."""
-    df.repartition(part).write.partitionBy(part).format(format).option("header", "true").save(path)
+def write_features(df: DataFrame, path: str, format: str = "parquet", part: str = "video_id", files: int = 1) -> None:
+    """One folder per entity with at most `files` files: the rows of an entity are dealt over so many tasks by their hash."""
+    df.repartition(part, F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.partitionBy(part).format(format).option("header", "true").save(path)
 
 
 def write_version(df: DataFrame, root: str, format: str = "parquet") -> str:
