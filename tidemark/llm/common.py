@@ -48,14 +48,18 @@ def heavy(counts: DataFrame, on: str) -> DataFrame:
     return counts.where(F.col("n") * HEAVY > total).select(on)
 
 
-def join_salted(many: DataFrame, few: DataFrame, on: str, hot: DataFrame) -> DataFrame:
-    """many.join(few, on) where few has a row per key; the rows of the keys of hot, as heavy() gives them, spread over SALTS tasks."""
+def join_salted(many: DataFrame, few: DataFrame, on: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many.join(few, on, how) where few has a row per key; the rows of the keys of hot, as heavy() gives them, spread over SALTS tasks.
+
+    A row's salt is a hash of its content, so that a task run again after a loss deals its rows alike in whatever order they come;
+    rows of many that are equal in all columns stay together.
+    """
     marked = F.broadcast(hot.select(on, F.lit(True).alias("_hot")))  # fewer than HEAVY rows
-    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     left = many.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = few.join(marked, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
 def fresh(df: DataFrame, name: str) -> str:
