@@ -73,8 +73,7 @@ def test_audit_of_nothing(spark, nothing, docs):
 
 def test_audit_moves_texts_once(docs):
     """One exchange of texts: both word aggregates and the join with the other flags go by its partitioning."""
-    texts = docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text").dropDuplicates(["digest"])
-    df = filter_audit.text_masks(texts)
+    df = filter_audit.text_masks(filter_audit.distinct_texts(docs))
     df.collect()
     final, first = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
     shuffled = first.count("Exchange hashpartitioning(")

@@ -32,6 +32,11 @@ SETS = 1 << len(LETTERS)
 KINDS = ("n", "good", "toxic")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(digest, text) of docs (text): a row per digest; said to be never null, so that a join adds no filter and both its sides share one exchange."""
+    return docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text").where(F.col("digest").isNotNull()).dropDuplicates(["digest"])
+
+
 def word_stats(texts: DataFrame) -> DataFrame:
     """(digest, n_words, n_distinct) of texts (digest, text), a row per digest; texts without words are missing."""
     each = texts.select("digest", F.explode(words(F.col("text"))).alias("word"))
@@ -68,8 +73,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     nulls = F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0))
     groups = durable(_labelled(rows, labels).groupBy("digest", "part", "good", "toxic").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"), nulls.alias("n_null")))
     firsts = groups.groupBy("digest").agg(F.min("least").alias("first"))
-    texts = base.select("digest", "text").dropDuplicates(["digest"])
-    flags = text_masks(texts).join(firsts, "digest")
+    flags = text_masks(distinct_texts(base)).join(firsts, "digest")
     joined = join_salted(groups, flags, "digest", heavy(groups.groupBy("digest").agg(F.count("*").alias("n")), "digest"))
     passing = F.col("n_null") + F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
     copies = F.lit(1 << LETTERS.index("E"))
