@@ -1,6 +1,6 @@
 """Registry of the corpus queries and their SQL."""
 
-from . import divergence, filter_audit, langid, media, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b, token_counts
+from . import divergence, filter_audit, langid, media, mixing, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, simple8b, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,11 @@ QUERIES = {
 }
 QUERIES["op10_media"] = media.op10_media
 QUERIES["op11_filter_audit"] = filter_audit.op11_filter_audit
+QUERIES["op12_warc"] = warc.op12_warc
 QUERIES["op13_divergence"] = divergence.op13_divergence
 ORACLES = {
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
     "op13_divergence": divergence.ORACLE_SQL,
 }
