@@ -42,6 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder as compressed columns and read again: smaller than a checkpoint where rows are many."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def heavy(counts: DataFrame, on: str) -> DataFrame:
     """The keys of counts (on, n) with more than one in HEAVY of all rows: fewer than HEAVY keys whatever the input."""
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, documents, durable
+from .common import SALTS, documents, durable, stored
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,16 +62,16 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): part 'pair' ranks the other sources, part 'term' the source's own terms."""
     plain = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = durable(term_counts(plain))
+    counts = stored(term_counts(plain), "term-counts")
     kept = durable(counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
-    found = durable(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+    found = stored(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "kept-counts")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = durable(plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left").na.fill(0, ["total", "v", "total_lang"]))
 
     dense = _on_lang(kept.select("lang", "term"), groups.select("lang", "source", "total", "v"), F.col("term"))
     filled = dense.join(found.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").na.fill(0, ["n"])
-    shares = durable(filled.select("lang", "term", "source", _share("n", "total", "v").alias("p")))
+    shares = stored(filled.select("lang", "term", "source", _share("n", "total", "v").alias("p")), "shares")
     a, b = shares.alias("a"), shares.alias("b")
     same = (F.col("a.lang") == F.col("b.lang")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source"))
     sums = a.join(b, same).groupBy(F.col("a.lang").alias("lang"), F.col("a.source").alias("low"), F.col("b.source").alias("high")).agg(F.sum(F.abs(F.col("a.p") - F.col("b.p"))).alias("value"))
