@@ -512,3 +512,10 @@ def test_damaged_chunks_are_refused():
     assert media.rebuild(recipe, own, {}) == own
     with pytest.raises(ValueError):
         media.rebuild(recipe, b"x" + own[1:], {})
+
+
+def test_a_language_of_one_repeated_row_is_learned(spark):
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("qa wo ru za").alias("text"), F.lit("xx").alias("lang"))
+    other = spark.range(400).select((F.col("id") * 3 + 4).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rows = langid.sample(same.unionByName(other), 100)
+    assert sum(r["lang"] == "xx" for r in rows) == 1 and sum(r["lang"] == "en" for r in rows) > 50

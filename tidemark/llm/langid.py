@@ -173,14 +173,16 @@ def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[dict]:
     """At most `most` rows (h, grams, lang) of docs (text, lang, doc_id) that are not held out and have a lang, by quotas."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    hashed = able.select(order.alias("h"), "text", "lang")
+    # equal rows share a hash and come once, so they are counted once; the counts are right within some per cent
+    different = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    counts = {r["lang"]: r["n"] for r in different.orderBy(F.desc("n"), "lang").limit(most).collect()}
     quota = quotas(counts, most)
     if not quota:
         return []
     # a range of hashes that holds half as many rows again as the quota, and some, then the least hashes
     shares = docs.sparkSession.createDataFrame([(y, min(1.0, (1.5 * k + 20) / counts[y])) for y, k in quota.items()], "lang string, share double")
-    order = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    hashed = able.select(order.alias("h"), "text", "lang")
     chosen = hashed.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0**-53) < F.col("share"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
