@@ -1,24 +1,38 @@
 """Band and interval joins.
 
-Every join has the entity as an equality key, so that ranges are residual conditions of a
-hash or merge join and never a nested loop over all rows; the choice among the matches of
-a row is an aggregate of one struct, which combines on the map side.
+Every join has the entity and a bucket of time as equality keys: rows of the right side stand in the bucket of their
+time, those of the left in all buckets that their band touches, two or three where buckets are as wide as bands. So an entity of
+any length spreads over its buckets and a row meets only rows near it; the band itself is a residual condition.
+The choice among the matches of a row is an aggregate of one struct, which combines on the map side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import ORDER, PART
 
 
+def band_join(points: DataFrame, frames: DataFrame, low: Column, high: Column, width: float, how: str = "inner", time: str = "t", part: str = PART) -> DataFrame:
+    """points as p and frames as f of the same entity whose time lies in [low, high], in buckets of width.
+
+    Each pair comes once, for a frame stands in one bucket. A left join gives a point a row without frame for each of its buckets
+    that has none, so aggregates of points must ignore nulls, as all here do. Points of an empty or null band match nothing.
+    """
+    bucket = lambda c: F.floor(c / F.lit(float(width)))
+    touched = F.when(low <= high, F.sequence(bucket(low), bucket(high)))
+    p = points.withColumns({"_low": low, "_high": high, "_bucket": F.explode_outer(touched)}).alias("p")
+    f = frames.withColumn("_bucket", bucket(F.col(time))).alias("f")
+    near = (F.col(f"p.{part}") == F.col(f"f.{part}")) & (F.col("p._bucket") == F.col("f._bucket")) & F.col(f"f.{time}").between(F.col("p._low"), F.col("p._high"))
+    return p.join(f, near, how)
+
+
 def snap_to_min(points: DataFrame, frames: DataFrame, width: float, score: str, point: str = "point_id", time: str = "t", part: str = PART) -> DataFrame:
     """Each point's frame of least score within width of its time (lowest number of equals); points without one are dropped."""
-    p, f = points.alias("p"), frames.alias("f")
-    near = (F.col(f"p.{part}") == F.col(f"f.{part}")) & F.col(f"f.{time}").between(F.col(f"p.{time}") - width, F.col(f"p.{time}") + width)
+    near = band_join(points, frames, F.col(time) - width, F.col(time) + width, 2 * width, time=time, part=part)
     best = F.min(F.struct(F.col(f"f.{score}").alias("s"), F.col(f"f.{ORDER}").alias("i"))).alias("b")
-    return p.join(f, near).groupBy(F.col(f"p.{part}").alias(part), F.col(f"p.{point}").alias(point)).agg(best).select(part, point, F.col("b.i").alias(ORDER), F.col("b.s").alias(score))
+    return near.groupBy(F.col(f"p.{part}").alias(part), F.col(f"p.{point}").alias(point)).agg(best).select(part, point, F.col("b.i").alias(ORDER), F.col("b.s").alias(score))
 
 
 def context_labels(frames: DataFrame, snapped: DataFrame, context: int, part: str = PART, order: str = ORDER) -> DataFrame:
@@ -36,10 +50,12 @@ def context_labels(frames: DataFrame, snapped: DataFrame, context: int, part: st
 
 def nearest_default(left: DataFrame, features: DataFrame, width: float, value: str, default: float, key: str = "event_id", time: str = "t", part: str = PART) -> DataFrame:
     """left's keys with the value of the first feature row within width, else the default."""
-    a, f = left.alias("a"), features.alias("f")
-    near = (F.col(f"a.{part}") == F.col(f"f.{part}")) & (F.abs(F.col(f"f.{time}") - F.col(f"a.{time}")) <= width)
-    first = F.min(F.when(F.col(f"f.{ORDER}").isNotNull(), F.struct(F.col(f"f.{ORDER}").alias("i"), F.col(f"f.{value}").alias("v")))).alias("b")
-    return a.join(f, near, "left").groupBy(F.col(f"a.{part}").alias(part), F.col(f"a.{key}").alias(key)).agg(first).select(part, key, F.coalesce("b.v", F.lit(default)).alias(value))
+    # the sum is rounded and the difference decides, so the band of the join is wider by a little
+    slack = width * 1e-9 + F.abs(F.col(time)) * 1e-12
+    near = band_join(left, features, F.col(time) - width - slack, F.col(time) + width + slack, 2 * width, "left", time, part)
+    inside = F.col(f"f.{ORDER}").isNotNull() & (F.abs(F.col(f"f.{time}") - F.col(f"p.{time}")) <= width)
+    first = F.min(F.when(inside, F.struct(F.col(f"f.{ORDER}").alias("i"), F.col(f"f.{value}").alias("v")))).alias("b")
+    return near.groupBy(F.col(f"p.{part}").alias(part), F.col(f"p.{key}").alias(key)).agg(first).select(part, key, F.coalesce("b.v", F.lit(default)).alias(value))
 
 
 def best_in_window(points: DataFrame, frames: DataFrame, lookback: float, score: str, margin: float, point: str = "event_id", time: str = "t", part: str = PART) -> DataFrame:
@@ -54,10 +70,9 @@ def best_in_window(points: DataFrame, frames: DataFrame, lookback: float, score:
     narrow = F.greatest(F.lit(0.0), t - 2 * margin)
     bad = F.col("_a") >= F.col("_b")
     windows = wide.select(part, point, time, F.when(bad, narrow).otherwise(F.col("_a")).alias("ws"), F.when(bad, F.greatest(narrow + margin, t - margin / 2)).otherwise(F.col("_b")).alias("we"))
-    p, f = windows.alias("p"), frames.alias("f")
-    inside = (F.col(f"p.{part}") == F.col(f"f.{part}")) & F.col(f"f.{time}").between(F.col("p.ws"), F.col("p.we"))
+    near = band_join(windows, frames, F.col("ws"), F.col("we"), max(lookback, 2 * margin), "left", time, part)
     top = F.max(F.when(F.col(f"f.{ORDER}").isNotNull(), F.struct(F.col(f"f.{score}").alias("s"), (-F.col(f"f.{ORDER}")).alias("n"), F.col(f"f.{time}").alias("t")))).alias("b")
-    best = p.join(f, inside, "left").groupBy(F.col(f"p.{part}").alias(part), F.col(f"p.{point}").alias(point), F.col(f"p.{time}").alias("transition")).agg(top, F.count(f"f.{ORDER}").alias("n_frames"))
+    best = near.groupBy(F.col(f"p.{part}").alias(part), F.col(f"p.{point}").alias(point), F.col(f"p.{time}").alias("transition")).agg(top, F.count(f"f.{ORDER}").alias("n_frames"))
     return best.select(part, point, F.coalesce("b.t", "transition").alias("capture"), F.coalesce("b.s", F.lit(0.0)).alias("best_score"), "n_frames")
 
 

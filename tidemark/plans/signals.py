@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate, intervals, windows
+from ..operators import cluster, evaluate, intervals, stretches, windows
 from ..session import table
-from .registry import FRAMES, frames, query, r6
+from .registry import FRAMES, ORACLES, frames, query, r6
 
 HOUR = 3600.0
 ERRORS = "event_type = 'error'"
@@ -140,10 +140,10 @@ SELECT video_id, event_id, frame_index FROM near WHERE k = 1""")
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame nearest in time within a band, lowest number of equals."""
     f = frames(spark, sf_dir)
-    w = f.where(TRUTHS).select("video_id", "event_id", (F.col("t") + 1800).alias("at")).alias("w")
-    near = (F.col("w.video_id") == F.col("f.video_id")) & (F.abs(F.col("f.t") - F.col("w.at")) <= 21600)
-    best = F.min(F.struct(F.abs(F.col("f.t") - F.col("w.at")).alias("d"), F.col("f.frame_index").alias("i"))).alias("b")
-    return w.join(f.alias("f"), near).groupBy("w.video_id", "w.event_id").agg(best).select("video_id", "event_id", F.col("b.i").alias("frame_index"))
+    w = f.where(TRUTHS).select("video_id", "event_id", (F.col("t") + 1800).alias("at"))
+    near = intervals.band_join(w, f, F.col("at") - 21601, F.col("at") + 21601, 43200).where(F.abs(F.col("f.t") - F.col("p.at")) <= 21600)
+    best = F.min(F.struct(F.abs(F.col("f.t") - F.col("p.at")).alias("d"), F.col("f.frame_index").alias("i"))).alias("b")
+    return near.groupBy("p.video_id", "p.event_id").agg(best).select("video_id", "event_id", F.col("b.i").alias("frame_index"))
 
 
 @query(f"WITH {FRAMES} SELECT video_id, frame_index, round(signal / 500 + (frame_index::DOUBLE / greatest(n - 1, 1)), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM frames)")
@@ -270,8 +270,8 @@ def _selection(name: str, back: float):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The look-back frame with the best mix of little penalty and late position."""
         f = frames(spark, sf_dir)
-        inside = (F.col("m.video_id") == F.col("f.video_id")) & F.col("f.t").between(F.col("m.t") - back, F.col("m.t"))
-        rows = f.where(TRUTHS).alias("m").join(f.alias("f"), inside).select("m.video_id", "m.event_id", "f.frame_index", "f.signal")
+        near = intervals.band_join(f.where(TRUTHS), f, F.col("t") - back, F.col("t"), back)
+        rows = near.select("p.video_id", "p.event_id", "f.frame_index", "f.signal")
         score = (1 - F.col("signal") / 500) * (1 + windows.position_share("event_id"))
         top = rows.withColumn("score", score).groupBy("video_id", "event_id").agg(F.max(F.struct("score", (-F.col("frame_index")).alias("n"))).alias("b"))
         return top.select("video_id", "event_id", (-F.col("b.n")).alias("frame_index"), r6("b.score").alias("score"))
@@ -496,3 +496,30 @@ def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduction_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(F.col("signal") >= 20).alias("final"))
     return each.select("video_id", "n", "final", r6(evaluate.ratio(F.col("n") - F.col("final"), F.col("n"))).alias("reduction"))
+
+
+# --- long entities -------------------------------------------------------------------------
+
+WEEK = 168 * HOUR
+
+
+@query(ORACLES["nms_smooth"])
+def nms_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same suppression with every entity cut into weeks."""
+    return stretches.suppress(frames(spark, sf_dir), "signal", 100.0, HOUR, WEEK).select("video_id", "frame_index", "smoothed")
+
+
+@query(ORACLES["burst_groups"])
+def bursts_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stretches.bursts(frames(spark, sf_dir), HOUR * 4, WEEK).select("video_id", "cluster", "start", "end", "n", "timestamps")
+
+
+@query(ORACLES["min_gap_filter"])
+def min_gap_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stretches.min_gap(frames(spark, sf_dir), 12 * HOUR, WEEK)
+
+
+@query(ORACLES["tolerance_match"])
+def match_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumn("ord", F.col("t"))
+    return stretches.tolerance_match(f.where(ERRORS), f.where(TRUTHS), 6 * HOUR, WEEK)
