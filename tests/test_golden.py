@@ -230,3 +230,37 @@ def test_gallery_pages_are_bounded(spark):
     df = spark.range(7).select(F.lit("v<1>").alias("video_id"), (F.col("id") + 1).alias("index"), F.lit('a "b"').alias("caption"), F.lit(b"PNG").alias("picture"), F.lit("image/png").alias("kind"))
     rows = pages.gallery_pages(df, 3).orderBy("page").collect()
     assert [r.html.count("<figure") for r in rows] == [3, 3, 1] and 'src="data:image/png;base64,UE5H" alt="a &quot;b&quot;"' in rows[0].html
+
+
+def test_key_sessions_by_loops(spark):
+    rng = np.random.default_rng(9)
+    slides, keys, want = [], [], set()
+    for video in range(12):
+        n = int(rng.integers(0, 8))
+        vectors = [None if rng.random() < 0.2 else [1.0, float(rng.integers(0, 2)) * 9] + [0.0] * int(rng.random() < 0.2) for _ in range(n)]
+        pressed = rng.choice(list("yNuUdarRxsq"), 12, p=[0.1, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.08, 0.08, 0.02, 0.02]).tolist()
+        keep, at, ended = [True] * n, 0, "open"
+        for k in map(str.lower, pressed):
+            if not n or k in "sq":
+                ended = {"s": "save", "q": "quit"}.get(k, ended)
+                break
+            if k == "r":
+                last = None
+                for i in range(n):
+                    if keep[i] and vectors[i] is not None:
+                        if last is not None and len(last) == len(vectors[i]) and last[1] == vectors[i][1]:
+                            keep[i] = False
+                        else:
+                            last = vectors[i]
+            elif k == "u":
+                keep[at] = not keep[at]
+            elif k in "yn":
+                keep[at] = k == "y"
+            at = min(at + 1, n - 1) if k in "ynd" else max(at - 1, 0) if k == "a" else at
+        want |= {(video, 10 + i, True if ended == "quit" else keep[i], ended) for i in range(n)}
+        slides += [(video, 10 + i, v) for i, v in enumerate(vectors)]
+        keys += [(video, i, k) for i, k in enumerate(pressed)]
+    s = spark.createDataFrame(slides, "video_id int, o int, v array<double>").repartition(3)
+    k = spark.createDataFrame([*keys, (99, 0, "y")], "video_id int, o int, key string").repartition(3)
+    got = sequential.key_session(s, k, "o", "v", "key").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fold import fold
@@ -123,6 +123,54 @@ def press_keys(df: DataFrame, slides: int, order: str, key: str, part: str = PAR
     return fold(df.select(part, order, F.lower(key).alias(key)), part, [order], step, f"{part} {df.schema[part].dataType.simpleString()}, slide long, keep boolean")
 
 
+def key_session(slides: DataFrame, keys: DataFrame, order: str, vector: str, key: str, threshold: float = 0.9, part: str = PART, similarity=cosine) -> DataFrame:
+    """(entity, order, keep, ended): each slide's mark after the entity's keys, and how the session ended.
+
+    Slides stand in their order and are kept at first. y and n mark the slide in hand and go on to the next, u turns its mark, d goes on,
+    a goes back, never beyond the ends. r walks over the kept slides that have a vector and takes away each that is at or
+    above threshold against the last one it left, if their vectors are of one length. s saves and q quits, which
+    gives all marks back; later keys do nothing, nor do others. ended is save, quit or open. Entities without slides have no rows.
+    """
+
+    def remove(keep: np.ndarray, vectors: list) -> None:
+        last = None
+        for k in np.flatnonzero(keep).tolist():
+            v = vectors[k]
+            if v is None:
+                continue
+            if last is not None and last.shape == v.shape and similarity(last, v) >= threshold:
+                keep[k] = False
+            else:
+                last = v
+
+    def step(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        is_slide = values["_side"] == 0
+        vectors = [None if v is None else np.asarray(v, np.float64) for v in values["_v"][is_slide]]
+        keep, at, ended = np.ones(len(vectors), bool), 0, "open"
+        for k in values["_k"][~is_slide] if len(vectors) else ():
+            if k in ("s", "q"):
+                ended = "save" if k == "s" else "quit"
+                break
+            if k == "r":
+                remove(keep, vectors)
+            elif k == "u":
+                keep[at] = not keep[at]
+            elif k in ("y", "n"):
+                keep[at] = k == "y"
+            at = min(at + 1, len(vectors) - 1) if k in ("y", "n", "d") else max(at - 1, 0) if k == "a" else at
+        if ended == "quit":
+            keep[:] = True
+        return {"_o": values["_o"][is_slide], "keep": keep, "ended": np.full(len(vectors), ended, object)}
+
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)).cast("long")
+    numbered = slides.select(part, F.col(order), place.alias("_o"), F.col(vector).cast("array<double>").alias("_v"))
+    sides = numbered.select(part, F.lit(0).alias("_side"), "_o", "_v", F.lit(None).cast("string").alias("_k"))
+    pressed = keys.select(part, F.lit(1).alias("_side"), F.col(order).cast("long").alias("_o"), F.lit(None).cast("array<double>").alias("_v"), F.lower(key).alias("_k"))
+    kind = slides.schema[part].dataType.simpleString()
+    marked = fold(sides.unionByName(pressed), part, ["_side", "_o"], step, f"{part} {kind}, _o long, keep boolean, ended string")
+    return numbered.join(marked, [part, "_o"]).select(part, order, "keep", "ended")
+
+
 def curate(df: DataFrame, threshold: float, order: str, vector: str, part: str = PART, similarity=cosine) -> DataFrame:
     """Items with keep: false at or above threshold against the last kept item of the same shape."""
 

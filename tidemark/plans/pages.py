@@ -122,6 +122,26 @@ def curation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("video_id", "slide", F.row_number().over(Window.partitionBy("video_id").orderBy("slide")).cast("long").alias("index"), F.lit(12).cast("long").alias("original_count"))
 
 
+_SESSION_KEYS = "CASE WHEN event_id % 53 = 0 THEN 'r' WHEN event_id % 211 = 0 THEN 's' WHEN event_id % 307 = 0 THEN 'q' WHEN event_type = 'view' THEN 'd' WHEN event_type = 'click' THEN 'n' WHEN event_type = 'purchase' THEN 'u' WHEN event_type = 'error' THEN 'A' ELSE 'Y' END"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, k AS (SELECT video_id, frame_index, lower({_SESSION_KEYS}) AS key FROM frames),
+sl AS (SELECT label::BIGINT AS video_id, list(vec_id ORDER BY vec_id) AS ids, list(CASE WHEN vec_id % 11 <> 0 THEN embedding::DOUBLE[] END ORDER BY vec_id) AS vs, count(*) AS n FROM embeddings GROUP BY label),
+w AS (SELECT sl.video_id, -1::BIGINT AS f, 1::BIGINT AS pos, list_transform(ids, lambda x: TRUE) AS keep, 'open' AS ended FROM sl UNION ALL
+SELECT w.video_id, k.frame_index, CASE WHEN key IN ('y', 'n', 'd') THEN least(pos + 1, n) WHEN key = 'a' THEN greatest(pos - 1, 1) ELSE pos END,
+CASE WHEN key IN ('y', 'n') THEN list_concat(keep[:pos - 1], [key = 'y'], keep[pos + 1:]) WHEN key = 'u' THEN list_concat(keep[:pos - 1], [NOT keep[pos]], keep[pos + 1:]) WHEN key = 'q' THEN list_transform(ids, lambda x: TRUE)
+WHEN key = 'r' THEN list_reduce(range(1, n + 1), lambda a, i: CASE WHEN NOT keep[i] THEN {{'keep': list_append(a.keep, FALSE), 'last': a.last}} WHEN vs[i] IS NULL THEN {{'keep': list_append(a.keep, TRUE), 'last': a.last}}
+    WHEN a.last > 0 AND list_cosine_similarity(vs[a.last], vs[i]) >= 0.2 THEN {{'keep': list_append(a.keep, FALSE), 'last': a.last}} ELSE {{'keep': list_append(a.keep, TRUE), 'last': i}} END, {{'keep': []::BOOLEAN[], 'last': 0::BIGINT}}).keep ELSE keep END,
+CASE key WHEN 's' THEN 'save' WHEN 'q' THEN 'quit' ELSE 'open' END FROM w JOIN k ON k.video_id = w.video_id AND k.frame_index = w.f + 1 JOIN sl ON sl.video_id = w.video_id WHERE ended = 'open'),
+z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY f DESC) AS r FROM w)
+SELECT z.video_id, unnest(ids) AS vec_id, unnest(keep) AS keep, ended FROM z JOIN sl USING (video_id) WHERE r = 1""")
+def curation_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key sessions over the slides of a label, with removal of like slides, saving and quitting."""
+    pictures = slides(spark, sf_dir).select(F.col("video_id").cast("long").alias("video_id"), F.col("vec_id").alias("place"), F.when(F.col("vec_id") % 11 != 0, F.col("vector")).alias("vector"))
+    keys = frames(spark, sf_dir).select("video_id", F.col("frame_index").alias("place"), F.expr(_SESSION_KEYS).alias("key"))
+    return sequential.key_session(pictures, keys, "place", "vector", "key", 0.2).withColumnRenamed("place", "vec_id")
+
+
 @query(f"""WITH {FRAMES}, hits AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {HOUR} THEN 0 ELSE 1 END AS fresh FROM frames WHERE signal >= 100 WINDOW w AS (PARTITION BY video_id ORDER BY t)),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t) AS cluster FROM hits),
 marks AS (SELECT video_id, frame_index, t FROM islands QUALIFY row_number() OVER (PARTITION BY video_id, cluster ORDER BY signal DESC, t, frame_index) = 1),

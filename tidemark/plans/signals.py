@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate, intervals, stretches, windows
+from ..operators import cluster, evaluate, intervals, quantiles, stretches, windows
 from ..session import table
 from .registry import FRAMES, ORACLES, frames, query, r6
 
@@ -523,3 +523,11 @@ def min_gap_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("ord", F.col("t"))
     return stretches.tolerance_match(f.where(ERRORS), f.where(TRUTHS), 6 * HOUR, WEEK)
+
+
+@query("""WITH wanted AS (SELECT unnest([0.05, 0.5, 0.95, 0.99]) AS share) SELECT event_type, share::DOUBLE AS share, count(value) AS n,
+round(CASE share WHEN 0.05 THEN quantile_cont(value, 0.05) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.95 THEN quantile_cont(value, 0.95) ELSE quantile_cont(value, 0.99) END, 6) AS percentile FROM events, wanted GROUP BY event_type, share""")
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of few, large groups: ranges from a sketch, ranks from counts."""
+    found = quantiles.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.05, 0.5, 0.95, 0.99], 1000)
+    return found.select("event_type", "share", "n", r6("percentile").alias("percentile"))
