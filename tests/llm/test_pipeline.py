@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_text_ops import slow_components, slow_print
-from tidemark.llm import mixing, quality_rules, secret_scan, sentencepiece_codec
+from tidemark.llm import bpe, mixing, quality_rules, secret_scan, sentencepiece_codec
 
 
 def staged(spark, df, tmp_path):
@@ -28,8 +28,9 @@ def test_stages_by_brute_force(spark, docs, tmp_path):
     want = slow_components(prints)
     assert Counter(r.doc_id for r in unique.collect()) == Counter(set(want.values()))
     texts = {r.doc_id: r.text for r in unique.collect()}
+    novelty = secret_scan.measure(bpe.default_path(), secret_scan.mine(unique))
     for r in clean.collect():
-        assert r.text == secret_scan.mask(texts[r.doc_id], secret_scan.scan(texts[r.doc_id])) and r.n_chars == len(r.text)
+        assert r.text == secret_scan.mask(texts[r.doc_id], secret_scan.with_copies(texts[r.doc_id], secret_scan.scan(texts[r.doc_id], novelty))) and r.n_chars == len(r.text)
         assert not secret_scan.base_spans(r.text)
     copies = {(r.source, r.doc_id): r.copies for r in mixing.mix_copies(mixing.sized(clean)).collect()}
     assert Counter((r.source, r.doc_id) for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})

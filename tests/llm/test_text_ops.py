@@ -211,6 +211,25 @@ def test_novelty_decides_for_every_alphabet(spark):
     assert reported < 0.05 * len(names)
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    """Long words of each language of the documents, judged by limits and a dictionary that do not hold them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = secret_scan.mine(docs)
+    assert words == secret_scan.mine(docs.repartition(3)) and len(words) > 1000 and all(re.fullmatch("[a-z]{4,15}", w) for w in words)
+    novelty = secret_scan.measure(bpe.default_path(), words)
+    reported = lambda w: any(k == 3 for _, k, _ in secret_scan.scan(f"the auth key of {w} in code", novelty))
+    long = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{16,}"), F.lit(0)))).alias("w")).where("lang is not null").distinct()
+    by_lang = defaultdict(set)
+    for r in long.collect():
+        by_lang[r.lang].add(r.w)
+    for lang, found in by_lang.items():
+        assert sum(map(reported, sorted(found)[:400])) <= 0.05 * min(len(found), 400) + 1, lang
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (16, 20, 32, 64):
+            assert sum(reported("".join(rng.choices(letters, k=n))) for _ in range(100)) >= 90, (letters, n)
+
+
 def test_scanning_is_linear_in_candidates():
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)) for _ in range(3000)]

@@ -10,12 +10,14 @@ judged alike, without regard to case. Costs are measured in windows that are too
 to entropy-code their literals. The limit for a window's length lies half way between what composed
 identifiers cost and what random letters cost, both drawn with a seed and measured by the same compressor.
 
-The identifier dictionary holds the most frequent letter pieces of a public vocabulary file, so
-it is the same for every corpus and needs no pass over it. Candidates that it explains
-are settled with the prepared dictionary alone; only the rest are primed with their surroundings too.
+The identifier dictionary holds, in turns, the most frequent words of the documents, ranked language by language, and the most
+frequent letter pieces of a public vocabulary file. The words come from one aggregate over all documents: whole tokens of 4 to
+15 letters in MIN_DOCS documents or more, so that no part of a longer string gets in. Limits are drawn from the words
+that follow those of the dictionary. Candidates that the dictionary explains are settled with it alone; only the rest are
+primed with their surroundings too.
 
 Rows are scanned one Arrow batch at a time on the executors, each text whole and alone:
-no shuffle and no state between rows. Edge cases: null text is empty and has no spans;
+no shuffle and no state between rows but the mined words, of which the driver holds MINED at most. Edge cases: null text is empty and has no spans;
 repeated rows get equal results; overlapping finds of different kinds are all kept; an
 empty table gives an empty result; clashing or extra columns are carried by redact() untouched.
 Offsets count code points, ends are exclusive.
@@ -29,10 +31,11 @@ import random
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import zip_longest
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path
@@ -54,8 +57,10 @@ _PEM_LINE = re.compile(r"^[\x20\t>]*([A-Za-z0-9+/]+={0,2})[\x20\t\r]*$", re.MULT
 AROUND = 2048
 #: Most characters of a candidate that are measured at once.
 WINDOW = 30
-#: Bytes of the identifier dictionary.
-DICTIONARY = 1 << 15
+#: Bytes of the identifier dictionary, and of its most frequent part that is used together with surroundings.
+DICTIONARY, NEAR = 1 << 16, 1 << 14
+#: Most words that are mined, and the documents that a mined word is in at least.
+MINED, MIN_DOCS = 1 << 14, 3
 #: Level at which the compressor looks for the cheapest parse; with its strategy fixed it leaves under 32 literals as they are.
 LEVEL = 15
 #: Drawn strings of each kind and length that set a limit.
@@ -79,18 +84,20 @@ def base_spans(text: str) -> list[_Span]:
 
 
 class Novelty:
-    """Marginal compressed bytes of strings, primed with the identifier parts of a vocabulary file."""
+    """Marginal compressed bytes of strings, primed with words and with the identifier parts of a vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: tuple[str, ...] = ()):
         with open(path, encoding="utf-8") as f:
             ranks = json.load(f)["model"]["vocab"]
-        parts = dict.fromkeys(w.lower() for w in (t.lstrip("\u0120") for t in sorted(ranks, key=ranks.get)) if len(w) >= 4 and w.isascii() and w.isalpha())
-        self.parts, size = [], 0
-        for w in parts:
-            size += len(w) + 1
-            if size > DICTIONARY:
-                break
-            self.parts.append(w)
+        pieces = dict.fromkeys(w.lower() for w in (t.lstrip("\u0120") for t in sorted(ranks, key=ranks.get)) if len(w) >= 4 and w.isascii() and w.isalpha())
+        both = list(dict.fromkeys(w for pair in zip_longest(words, pieces) for w in pair if w))
+        taken, size = 0, 0
+        while taken < len(both) and size + len(both[taken]) + 1 <= DICTIONARY:
+            size += len(both[taken]) + 1
+            taken += 1
+        self.parts, self.held = both[:taken], both[taken : 2 * taken]
+        if len(self.held) < DRAWN:
+            self.held = self.parts
         # the most frequent last: near matches are cheap
         self.prime = " ".join(reversed(self.parts)).encode()
         self.packer, self.frame = self._packer(self.prime)
@@ -116,7 +123,7 @@ class Novelty:
             rng = random.Random(n)
             known, chance = [], []
             for _ in range(DRAWN):
-                known.append(self.cost("".join(rng.choices(self.parts, k=1 + n // 4))[:n]))
+                known.append(self.cost("".join(rng.choices(self.held, k=1 + n // 4))[:n]))
                 chance.append(self.cost("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))))
             known.sort()
             chance.sort()
@@ -136,15 +143,25 @@ class Novelty:
             if sides is None:
                 sides = [text[max(0, start - AROUND) : start].replace(word, ""), text[end : end + AROUND].replace(word, "")]
             around = f"{sides[1]} {(sides[0] + ' ' + word[max(0, at - AROUND) : at])[-AROUND:]} "
-            if self.cost(window, *self._packer(self.prime[-DICTIONARY // 2 :] + around.lower().encode(errors="replace"))) >= self.limit(to - at):
+            if self.cost(window, *self._packer(self.prime[-NEAR:] + around.lower().encode(errors="replace"))) >= self.limit(to - at):
                 return True
         return False
 
 
 @cache
-def measure(path: str) -> Novelty:
-    """One measure per worker and vocabulary file."""
-    return Novelty(path)
+def measure(path: str, words: tuple[str, ...] = ()) -> Novelty:
+    """One measure per worker, vocabulary file and words."""
+    return Novelty(path, words)
+
+
+def mine(docs: DataFrame, most: int = MINED) -> tuple[str, ...]:
+    """The words in most documents of docs (text and perhaps lang): the first of each language, then the second ones, and so on."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    each = docs.select(lang.alias("lang"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+/_=-]+"))).alias("word"))
+    counts = each.where(F.length("word").between(4, 15)).groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    ranked = counts.where(F.col("word").rlike("^[a-z]+$")).withColumn("rank", rank).where(F.col("rank") <= most)
+    return tuple(dict.fromkeys(r["word"] for r in ranked.orderBy("rank", "lang").limit(most).collect()))
 
 
 def _known(text: str, start: int, end: int, spans: list[_Span]) -> bool:
@@ -168,15 +185,15 @@ def _runs(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def scan(text: str, vocabulary: str | None = None) -> list[_Span]:
-    """All spans of a text, by start, then kind.
+def scan(text: str, novelty: Novelty | None = None) -> list[_Span]:
+    """All spans of a text, by start, then kind; without a measure that of the default vocabulary alone judges.
 
     A string that stands both behind and only in front of cues is reported behind them; redact() masks its copies too.
     """
     base = base_spans(text)
     runs = _runs(text)
     cues = [m.span() for m in _CUES.finditer(text)] if runs else []
-    novel = measure(vocabulary or default_path()).novel
+    novel = (novelty or measure(default_path())).novel
     found, words, ahead, near, k = [], set(), [], [], 0
     for start, end, pem in runs:
         while k < len(base) and base[k][0] < end:
@@ -205,23 +222,27 @@ def _joined(spans: list[_Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        rows = []
-        for text in batch.column("text").to_pylist():
-            spans = scan(text or "")
-            base = [x for x in spans if x[1] < 3]
-            n = [sum(x[1] == k for x in spans) for k in range(4)]
-            rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+def _scan_batches(path: str, words: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = measure(path, words)
+        for batch in slices(batches):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                spans = scan(text or "", novelty)
+                base = [x for x in spans if x[1] < 3]
+                n = [sum(x[1] == k for x in spans) for k in range(4)]
+                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
+    return run
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts by kind, base_sha256, spans) for docs with doc_id and text."""
+
+def find_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, counts by kind, base_sha256, spans) for docs with doc_id and text, and lang if there is one."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(scan_batches, schema)
+    return docs.select("doc_id", "text").mapInArrow(_scan_batches(vocabulary or default_path(), mine(docs)), schema)
 
 
 def mask(text: str | None, spans: list[_Span], mark: str = "[SECRET]") -> str | None:
@@ -238,13 +259,18 @@ def mask(text: str | None, spans: list[_Span], mark: str = "[SECRET]") -> str |
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every secret in text masked; n_chars, where present, follows the text."""
+def redact(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """docs with every secret in text masked; n_chars, where present, follows the text.
+
+    Columns keep their names and places, whatever they are called.
+    """
+    path, words = vocabulary or default_path(), mine(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = measure(path, words)
         for batch in slices(batches):
             i = batch.schema.get_field_index("text")
-            texts = [mask(t, with_copies(t or "", scan(t or ""))) for t in batch.column(i).to_pylist()]
+            texts = [mask(t, with_copies(t or "", scan(t or "", novelty))) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
     out = docs.mapInArrow(run, docs.schema)
