@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_ops import slow_components, slow_print
@@ -56,3 +57,13 @@ def test_nothing_else_imports_the_subpackage():
         for name in names:
             if name.endswith(".py"):
                 assert not re.search(r"^\s*(from|import) .*\bllm\b", open(os.path.join(folder, name)).read(), re.M)
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, tricky):
+    odd = tricky.withColumns({"a.b": F.col("n_words"), "c.d e": F.lit("x"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "_1": F.array(F.col("_row"))})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "/nowhere")
+        assert out.columns == odd.columns
+        assert all(r["a.b"] == r["n_words"] and r["m"] == {"k": r["doc_id"]} and r["_1"] == [r["_row"]] for r in out.collect())
+    coded = corpus_pipeline.STAGES[-1][1](spark, odd, "/nowhere")
+    assert {"a.b", "c.d e", "m", "_1"} <= set(coded.columns) and all(r["m"] == {"k": r["doc_id"]} for r in coded.collect())

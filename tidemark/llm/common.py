@@ -77,6 +77,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(df: DataFrame, *kept: str) -> DataFrame:
+    """df with columns named by their place but for those of kept, as functions over Arrow batches need it: Spark cannot resolve names with dots there."""
+    return df.toDF(*[c if c in kept else f"_{i}" for i, c in enumerate(df.columns)])
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of df in a form that can be hashed and compared: those that hold maps as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable, word_count
+from .common import documents, durable, hashable, word_count
 
 BLOCK = 96
 #: Equal rows that are told apart, or written, in one go.
@@ -162,7 +162,7 @@ def _variants(rows: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each row as often as mix_copies() takes it; rows equal in every column share the copies that all of them get."""
     named = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.struct(F.col("source"), F.col("doc_id"), F.xxhash64("text").alias("digest"), F.xxhash64(*named).alias("rest"))
+    key = F.struct(F.col("source"), F.col("doc_id"), F.xxhash64("text").alias("digest"), F.xxhash64(*hashable(docs)).alias("rest"))
     variants = _variants(durable(docs.select(key.alias("k"), word_count(F.col("text")).alias("size")).select("k.*", "size")))
     counted = variants.groupBy("source", "id", "size").agg(F.sum("rows").alias("rows"))
     rates = _rates(counted)

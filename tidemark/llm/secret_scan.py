@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path
-from .common import documents, slices
+from .common import documents, plain_names, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -273,7 +273,8 @@ def redact(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [mask(t, with_copies(t or "", scan(t or "", novelty))) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    plain = plain_names(docs, "text")
+    out = plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -34,9 +34,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices
+from .common import documents, plain_names, slices
 
 MARKER = "▁"
 #: Below the least score of a piece.
@@ -227,7 +228,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
     made = ["ids"] * with_ids + ["n_tokens", "n_byte_tokens", "ids_crc32", "exact"]
     carried = [f for f in docs.schema if f.name != "text" and f.name not in {*made, "ids"}]
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "n_byte_tokens": T.LongType(), "ids_crc32": T.LongType(), "exact": T.BooleanType()}
-    schema = T.StructType([*carried, *(T.StructField(c, kinds[c]) for c in made)])
+    plain = plain_names(docs.select("text", *[F.col(f"`{f.name}`") for f in carried]), "text")
+    held = plain.schema.fields[1:]
+    schema = T.StructType([*held, *(T.StructField(c, kinds[c]) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -240,7 +243,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
                 ids = np.frombuffer(data, "<u4")
                 packed.append(ids)
                 rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(data), c.decode(ids) == (text or "")))
-            columns = [batch.column(f.name) for f in carried]
+            columns = [batch.column(f.name) for f in held]
             if with_ids:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in packed]))).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*packed, np.empty(0, "<u4")]).astype(np.int32))))
@@ -248,7 +251,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
             columns += [pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.select("text", *[f.name for f in carried]).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*[f.name for f in carried], *made)
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:

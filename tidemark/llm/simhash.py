@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, fresh, heavy, join_salted, slices
+from .common import documents, durable, fresh, heavy, join_salted, plain_names, slices
 
 BUDGET = 3
 SEGMENTS = 4
@@ -218,17 +218,18 @@ def _named(docs: DataFrame) -> list[Column]:
 
 def _by_print(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of docs for each (doc_id, fp) of chosen that is found there."""
-    mark = fresh(docs, "_fp")
+    plain = plain_names(docs, "doc_id", "text")
+    mark = fresh(plain, "_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield batch.append_column(mark, pa.array(prints))
 
-    schema = T.StructType([*docs.schema, T.StructField(mark, T.LongType())])
-    printed = docs.mapInArrow(run, schema).dropDuplicates(["doc_id", mark])
+    schema = T.StructType([*plain.schema, T.StructField(mark, T.LongType())])
+    printed = plain.mapInArrow(run, schema).dropDuplicates(["doc_id", mark])
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.fp"))
-    return printed.alias("d").join(chosen.alias("k"), same, "left_semi").select(*_named(docs))
+    return printed.alias("d").join(chosen.alias("k"), same, "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:
