@@ -38,10 +38,9 @@ RANGE_ROWS = 1 << 16
 EPOCH = "2024-01-01 00:00:00"
 #: Between records stand two line ends.
 END = "\r\n\r\n"
-# Names and profile of the archive format.
+# Version line and revisit profile of the archive format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAMES = "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Payload-Digest WARC-Refers-To WARC-Profile Content-Type Content-Length".split()
 
 
 def payload_digest(payload: Column) -> Column:
