@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.external import python_round
-from ..operators import evaluate, model, windows
-from ..streaming import sessions
+from ..operators import boosting, evaluate, windows
+from ..session import scratch
+from ..streaming import ledger, ordered, sessions
 from .registry import FRAMES, frames, query
 from .slides import SLIDE_SEQUENCE
 
@@ -24,25 +24,47 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rolled.where(~test), rolled.where(test)
 
 
+@lru_cache(maxsize=4)
+def _fitted(spark: SparkSession, sf_dir: str) -> boosting.Boosted:
+    """The model in its published shape; the three queries of a session share it."""
+    return boosting.fit(_training(spark, sf_dir)[0], _INPUTS, key=["event_id"])
+
+
 @query()
 def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boosted model, in its published shape, fitted on the training entities, applied to the test entities."""
-    train, test = _training(spark, sf_dir)
-    fitted = model.fit(train, _INPUTS)
-    return model.predict(fitted, test, 0.5).select("video_id", "frame_index", "label", "probability", "prediction")
+    scored = boosting.predict(_fitted(spark, sf_dir), _training(spark, sf_dir)[1], 0.5)
+    return scored.select("video_id", "frame_index", "label", "probability", "prediction")
 
 
 @query()
 def gbt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _training(spark, sf_dir)
-    scored = model.predict(model.fit(train, _INPUTS), test, 0.5)
+    scored = boosting.predict(_fitted(spark, sf_dir), _training(spark, sf_dir)[1], 0.5)
     return evaluate.with_scores(evaluate.confusion(scored, "video_id"))
 
 
 @query()
 def gbt_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _training(spark, sf_dir)
-    return model.importances(spark, model.fit(train, _INPUTS), _INPUTS)
+    return boosting.importances(spark, _fitted(spark, sf_dir))
+
+
+_CUTS = [float(c) for c in range(10, 200, 10)]
+
+
+@query(f"""WITH {FRAMES}, used AS (SELECT *, CASE WHEN label = 1 THEN (SELECT count(*) FILTER (label = 0) / count(*) FILTER (label = 1) FROM frames) ELSE 1.0 END AS w FROM frames),
+x AS (SELECT *, CAST(round_even((0.5 - label) * w * 1048576, 0) AS BIGINT) AS g, CAST(round_even(0.25 * w * 1048576, 0) AS BIGINT) AS h FROM used),
+cuts AS (SELECT CAST(unnest(range(1, 20)) * 10 AS DOUBLE) AS cut), sides AS (SELECT cut, sum(g) FILTER (signal <= cut) / 1048576 AS gl, sum(h) FILTER (signal <= cut) / 1048576 AS hl, sum(g) / 1048576 AS gt, sum(h) / 1048576 AS ht FROM x, cuts GROUP BY cut),
+scored AS (SELECT *, power(greatest(abs(gl) - 0.1, 0), 2) / (hl + 1) + power(greatest(abs(gt - gl) - 0.1, 0), 2) / (ht - hl + 1) - power(greatest(abs(gt) - 0.1, 0), 2) / (ht + 1) AS gain FROM sides WHERE hl >= 3 AND ht - hl >= 3),
+best AS (SELECT * FROM scored ORDER BY gain DESC, cut LIMIT 1)
+SELECT event_id, cut, round(gain, 6) AS gain, round(1 / (1 + exp(0.1 * CASE WHEN signal <= cut THEN sign(gl) * greatest(abs(gl) - 0.1, 0) / (hl + 1) ELSE sign(gt - gl) * greatest(abs(gt - gl) - 0.1, 0) / (ht - hl + 1) END)), 6) AS probability FROM frames, best""")
+def boost_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One regularised split of all rows at fixed cuts: its place, its gain and the probabilities it gives."""
+    f = frames(spark, sf_dir)
+    shape = boosting.Settings(trees=1, depth=1, rows=1.0, columns=1.0, gamma=0.0)
+    found = boosting.fit(f, ["signal"], settings=shape, edges=[_CUTS])
+    root = found.trees[0]
+    scored = boosting.predict(found, f)
+    return scored.select("event_id", F.lit(_CUTS[root.cut[1]]).alias("cut"), F.lit(round(root.gain[1], 6)).alias("gain"), F.round("probability", 6).alias("probability"))
 
 
 @query()
@@ -69,11 +91,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     """An output and a checkpoint path in the shared folder of the session."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     return f"{path}/out", f"{path}/state"
 
 
@@ -126,3 +144,32 @@ def stream_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions whose end the watermark has passed when the input ends."""
     return sessions.run_to_end(sessions.sessions(_stream(spark, sf_dir), "6 hours", "1 hour"), *_folders(spark, "sessions"))
+
+
+_WATERMARK = "(SELECT max(t) - 3600 FROM frames)"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, times AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) AS k FROM (SELECT DISTINCT video_id, t FROM frames WHERE t <= {_WATERMARK})),
+walk AS (SELECT video_id, k, t, t AS last, TRUE AS kept FROM times WHERE k = 1 UNION ALL SELECT x.video_id, x.k, x.t, CASE WHEN x.t - w.last >= 43200 THEN x.t ELSE w.last END, x.t - w.last >= 43200 FROM walk w JOIN times x ON x.video_id = w.video_id AND x.k = w.k + 1)
+SELECT CAST(video_id AS BIGINT) AS video_id, t FROM walk WHERE kept""")
+def stream_spaced_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy spacing of a stream whose events wait for the watermark and are taken in order of time; what it has not passed waits on."""
+    return ordered.run_ordered(ordered.spaced_in_order(_stream(spark, sf_dir), 43200.0, "1 hour"), *_folders(spark, "spaced-order"))
+
+
+@query(f"""WITH {FRAMES}, seen AS (SELECT *, t - lag(t) OVER w AS gap FROM frames WHERE t <= {_WATERMARK} WINDOW w AS (PARTITION BY video_id ORDER BY t)),
+runs AS (SELECT *, sum(CASE WHEN gap < 21600 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY t) AS k FROM seen),
+found AS (SELECT video_id, k, min(t) AS start, max(t) AS "end", count(*) AS n, max(signal) AS peak FROM runs GROUP BY video_id, k)
+SELECT CAST(video_id AS BIGINT) AS video_id, start, "end", n, peak FROM found QUALIFY k < max(k) OVER (PARTITION BY video_id)""")
+def stream_sessions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a state machine in order of time, each given when the one after it begins."""
+    return ordered.run_ordered(ordered.sessions_in_order(_stream(spark, sf_dir), 21600.0, "1 hour"), *_folders(spark, "sessions-order"))
+
+
+@query(f"WITH {FRAMES} SELECT video_id, t, signal AS value FROM frames WHERE signal >= 50")
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong signals of a stream through the sink with a ledger, run again over the same input: each row is there once."""
+    marks = _stream(spark, sf_dir).where("value >= 50").select("video_id", (F.unix_micros("at") / F.lit(1e6)).alias("t"), "value")
+    root, state = _folders(spark, "ledger")
+    ledger.run_resumable(marks, root, state)
+    return ledger.run_resumable(marks, root, state)
