@@ -113,6 +113,19 @@ def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.floor(rows[:, x0] * (1 - fx) + rows[:, x1] * fx + 0.5).astype(image.dtype)
 
 
+def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at another size: means over the area that each new pixel covers, as floating point."""
+
+    def cover(n: int, m: int) -> np.ndarray:
+        low, high = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+        at = np.arange(n)
+        return np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None) * m / n
+
+    rows, columns = cover(image.shape[0], height), cover(image.shape[1], width)
+    x = np.tensordot(rows, image.astype(np.float64), 1)
+    return np.moveaxis(np.tensordot(columns, x, (1, 1)), 0, 1)
+
+
 def board_ssim(current: np.ndarray, other: np.ndarray) -> float:
     """SSIM of the grays with the current frame's skin pixels blanked in both; other takes current's size."""
     if other.shape != current.shape:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels, pages
 from ..operators import cluster, evaluate, intervals, sequential, windows
 from ..session import table
+from ..sources import writers
 from .registry import FRAMES, frames, query, r6
 from .slides import SIDE, slides
 
@@ -56,6 +57,13 @@ def slide_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.gallery_pages(numbered, 50)
 
 
+@query()
+def slide_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides scaled to a width of 64 as JPEG files of quality 85."""
+    found = slides(spark, sf_dir).select("video_id", "vec_id", F.col("px").alias("data"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
+    return writers.thumbnails(found, 64, quality=85)
+
+
 @query("""WITH v AS (SELECT label AS video_id, count(*) AS slides, count(*) FILTER (vec_id % 10 = 0) AS blanks FROM embeddings GROUP BY label), p AS (SELECT *, row_number() OVER (ORDER BY video_id) AS position FROM v)
 SELECT ((position - 1) // 100 + 1)::BIGINT AS page, concat('<!DOCTYPE html>', chr(10), '<html><body>', chr(10), string_agg(concat('<div class="video-card"><a href="', video_id, '/gallery.html">', video_id, '</a><span>', slides, ' slides, ', blanks, ' blank</span></div>'), chr(10) ORDER BY position), chr(10), '</body></html>') AS html FROM p GROUP BY 1""")
 def video_index(spark: SparkSession, sf_dir: str) -> DataFrame:

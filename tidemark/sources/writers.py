@@ -35,19 +35,28 @@ def write_text(df: DataFrame, path: str, column: str, part: str = "video_id") ->
     df.select(part, F.col(column).alias("value")).write.partitionBy(part).text(path)
 
 
-def thumbnails(frames: DataFrame, width: int, enlarge: bool = True) -> DataFrame:
-    """Frames (data, height, width) scaled to a width, aspect kept; without enlarge small frames stay."""
+def thumbnails(frames: DataFrame, width: int, enlarge: bool = True, quality: int | None = None, resize: str = "bilinear") -> DataFrame:
+    """Frames (data, height, width) scaled to a width, aspect kept; without enlarge small frames stay.
+
+    resize is "bilinear" or "area"; with a quality, data are JPEG files, else raw bytes. Null data stay as they are.
+    """
+    if resize not in ("bilinear", "area"):
+        raise ValueError(resize)
 
     def run(batches):
-        from ..functions.kernels import decode, resize_nearest
+        from ..functions.jpeg import jpeg
+        from ..functions.kernels import decode, resize_area, resize_bilinear
 
+        scaled = resize_area if resize == "area" else resize_bilinear
         for batch in batches:
             out = []
             for data, h, w in zip(batch["data"], batch["height"], batch["width"], strict=True):
-                frame = decode(data, h, w)
+                if data is None:
+                    out.append((h, w, None))
+                    continue
                 to = width if enlarge else min(width, w)
-                small = resize_nearest(frame, max(1, round(h * to / w)), to)
-                out.append((small.shape[0], small.shape[1], small.astype(np.uint8).tobytes()))
+                small = np.clip(np.rint(scaled(decode(data, h, w), max(1, int(h * (to / w))), to)), 0, 255).astype(np.uint8)
+                out.append((small.shape[0], small.shape[1], small.tobytes() if quality is None else jpeg(small, quality)))
             made = pd.DataFrame(out, columns=["height", "width", "data"]).astype({"height": "int32", "width": "int32"})
             yield pd.concat([batch.drop(columns=["data", "height", "width"]).reset_index(drop=True), made], axis=1)
 
