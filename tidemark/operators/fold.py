@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Rows of results that leave at once.
 OUT_ROWS = 20_000
@@ -42,7 +43,11 @@ def _entities(batches: Iterator[pa.RecordBatch], part: str, columns: list[str])
 
 
 def fold(df: DataFrame, part: str, order: list[str], step: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """step over each entity's columns (all but part, rows sorted by order); it returns result columns of one length."""
+    """step over each entity's columns (all but part, rows sorted by order); it returns result columns of one length.
+
+    A window asks for the partitioning and the order: Spark holds it to that, while it drops a repartition() by a key that its input
+    is partitioned by and may then, above a union, merge the partitions of either side alone, which parts an entity's rows.
+    """
     columns = [c for c in df.columns if c != part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,4 +71,5 @@ def fold(df: DataFrame, part: str, order: list[str], step: Callable[[dict[str, n
         if parts:
             yield flush()
 
-    return df.repartition(part).sortWithinPartitions(part, *order).mapInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return df.withColumn("_place", place).mapInArrow(run, schema)
