@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import fixed
 from .text import first_heading, joined
 
 
-
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -19,11 +19,11 @@ def final_notes(slides: DataFrame, lectures: DataFrame, part: str = "video_id")
     slides has (entity, slide, start, end, image, notes), lectures (entity, title, language, summary, generated).
     """
     n, at, end = _text(F.col("slide")), F.col("start"), F.col("end")
-    entry = F.concat(n, F.lit(". ["), first_heading(F.col("notes")), F.lit("](#slide-"), n, F.lit(") (⏱️ "), F.format_string("%.0f", at), F.lit("s)"))
+    entry = F.concat(n, F.lit(". ["), first_heading(F.col("notes")), F.lit("](#slide-"), n, F.lit(") (⏱️ "), fixed(at, 0), F.lit("s)"))
     # The marks and headings of the notes format, which readers of such files look for.
     body = F.concat(
         F.lit("<a id='slide-"), n, F.lit("'></a>\n\n### Slide "), n,
-        F.format_string("\n**Time:** %.1fs - %.1fs\n**Duration:** %.1fs\n\n", at, end, end - at),
+        F.format_string("\n**Time:** %ss - %ss\n**Duration:** %ss\n\n", fixed(at, 1), fixed(end, 1), fixed(end - at, 1)),
         F.lit("![Slide "), n, F.lit("]("), F.col("image"), F.lit(")\n\n"), F.col("notes"), F.lit("\n\n---\n"),
     )
     rows = slides.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("slide", entry.alias("entry"), body.alias("body")))).alias("_s"))
@@ -57,7 +57,7 @@ def comparison_report(frame_counts: DataFrame, event_counts: DataFrame, toleranc
     f = frame_counts.select(*[F.col(c).alias(f"f_{c}") for c in ("tp", "fp", "fn", "tn")])
     e = event_counts.agg(F.count("*").alias("videos"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    percent = lambda name, r: F.format_string(f"  {name:<10} %.4f (%.2f%%)", r, r * 100)
+    percent = lambda name, r: F.format_string(f"  {name:<10} %s (%s%%)", fixed(r, 4), fixed(r * 100, 2))
     tp, fp, fn, tn = (F.col(f"f_{c}") for c in ("tp", "fp", "fn", "tn"))
     etp, efp, efn = F.col("tp"), F.col("fp"), F.col("fn")
     line = F.lit("=" * 70)
@@ -73,7 +73,7 @@ def comparison_report(frame_counts: DataFrame, event_counts: DataFrame, toleranc
         percent("Accuracy:", ratio(tp + tn, tp + fp + fn + tn)),
         percent("Precision:", ratio(tp, tp + fp)),
         percent("Recall:", ratio(tp, tp + fn)),
-        F.format_string("  F1 Score:  %.4f", ratio(2 * tp, 2 * tp + fp + fn)),
+        F.format_string("  F1 Score:  %s", fixed(ratio(2 * tp, 2 * tp + fp + fn), 4)),
         line,
         F.lit("2. EVENTS"),
         F.lit(f"Matching Tolerance: ±{tolerance:g}s"),
@@ -81,7 +81,7 @@ def comparison_report(frame_counts: DataFrame, event_counts: DataFrame, toleranc
         F.format_string("  TP: %d (correctly detected)\n  FP: %d (false alarms)\n  FN: %d (missed transitions)", etp, efp, efn),
         percent("Precision:", ratio(etp, etp + efp)),
         percent("Recall:", ratio(etp, etp + efn)),
-        F.format_string("  F1 Score:  %.4f", ratio(2 * etp, 2 * etp + efp + efn)),
+        F.format_string("  F1 Score:  %s", fixed(ratio(2 * etp, 2 * etp + efp + efn), 4)),
         line,
     )
     # both sides are one row
@@ -135,7 +135,7 @@ def windows_quoted(c: Column) -> Column:
 def audio_command(video: Column, start: Column, end: Column, audio: Column, quoted=posix_quoted) -> Column:
     """The command that cuts [start, end] out of a video's sound."""
     # Fixed value: the arguments of the encoder.
-    return F.concat(F.lit("ffmpeg -i "), quoted(video), F.format_string(" -ss %.2f -t %.2f -vn -acodec libmp3lame -q:a 2 ", start, end - start), quoted(audio))
+    return F.concat(F.lit("ffmpeg -i "), quoted(video), F.format_string(" -ss %s -t %s -vn -acodec libmp3lame -q:a 2 ", fixed(start, 2), fixed(end - start, 2)), quoted(audio))
 
 
 def cleaning_prompt(seen: Column, heard: Column, language: Column) -> Column:
@@ -145,5 +145,5 @@ def cleaning_prompt(seen: Column, heard: Column, language: Column) -> Column:
 
 def notes_prompt(slide: Column, seen: Column, heard: Column, language: Column, start: Column, end: Column) -> Column:
     """What a model is asked to write a slide's notes from: number, repaired text, speech, language and times."""
-    head = F.concat(F.lit("Write lecture notes in English from this slide and its speech alone.\n\n[slide] "), _text(slide), F.format_string("\n[time] %.1fs - %.1fs\n[speech language] ", start, end), language)
+    head = F.concat(F.lit("Write lecture notes in English from this slide and its speech alone.\n\n[slide] "), _text(slide), F.format_string("\n[time] %ss - %ss\n[speech language] ", fixed(start, 1), fixed(end, 1)), language)
     return F.concat(head, F.lit("\n\n[slide text]\n"), seen, F.lit("\n\n[speech]\n"), heard, F.lit("\n\nBegin with a ## heading; use bullets for ideas and numbers for steps; mark what is called important or examined; write formulas as LaTeX.\n"))

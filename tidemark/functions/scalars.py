@@ -12,6 +12,11 @@ def mmss(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, from its exact binary value and ties to even, as C and Python print it; format_string() rounds the shortest decimal form of x, halves up."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -153,14 +153,15 @@ def format_mmss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FRAMES}, m AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t) AS index FROM frames WHERE event_type = 'purchase') SELECT video_id, string_agg(printf('%3d. %s (%.2fs)', index, printf('%02d:%02d', floor(signal / 60)::BIGINT, floor(signal)::BIGINT % 60), signal), chr(10) ORDER BY index) AS report FROM m GROUP BY video_id")
 def transitions_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = frames(spark, sf_dir).where("event_type = 'purchase'").withColumn("index", F.row_number().over(Window.partitionBy("video_id").orderBy("t")))
-    return text.joined(m, "index", F.format_string("%3d. %s (%.2fs)", F.col("index"), scalars.mmss(F.col("signal")), F.col("signal")), "report", "\n", "video_id")
+    return text.joined(m, "index", F.format_string("%3d. %s (%ss)", F.col("index"), scalars.mmss(F.col("signal")), scalars.fixed(F.col("signal"), 2)), "report", "\n", "video_id")
 
 
 @query(f"""WITH {FRAMES}, m AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t) AS index FROM frames WHERE event_type = 'purchase')
 SELECT video_id, index, printf('ffmpeg -i "videos/%d.mp4" -ss %.2f -t %.2f -vn -acodec libmp3lame -q:a 2 "audio/%d_%03d.mp3"', video_id, signal, signal, video_id, index) AS command FROM m""")
 def ffmpeg_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = frames(spark, sf_dir).where("event_type = 'purchase'").withColumn("index", F.row_number().over(Window.partitionBy("video_id").orderBy("t")).cast("long"))
-    cmd = F.format_string('ffmpeg -i "videos/%d.mp4" -ss %.2f -t %.2f -vn -acodec libmp3lame -q:a 2 "audio/%d_%03d.mp3"', "video_id", "signal", "signal", "video_id", "index")
+    at = scalars.fixed(F.col("signal"), 2)
+    cmd = F.format_string('ffmpeg -i "videos/%d.mp4" -ss %s -t %s -vn -acodec libmp3lame -q:a 2 "audio/%d_%03d.mp3"', "video_id", at, at, "video_id", "index")
     return m.select("video_id", "index", cmd.alias("command"))
 
 
