@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels, pages
+from ..functions import kernels, pages, scalars
 from ..operators import cluster, evaluate, intervals, sequential, windows
 from ..session import table
 from ..sources import writers
@@ -165,5 +165,5 @@ def note_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = windows.previous_interval(windows.renumber(marks, "t", out="slide"), "t")
     best = intervals.best_in_window(marks, f, 24 * HOUR, "signal", HOUR, point="frame_index")
     chain = spans.join(best, ["video_id", "frame_index"])
-    note = F.concat(F.lit("### Slide "), F.col("slide").cast("string"), F.format_string("\n**Time:** %.1fs - %.1fs", F.col("start"), F.col("t")))
+    note = F.concat(F.lit("### Slide "), F.col("slide").cast("string"), F.format_string("\n**Time:** %ss - %ss", scalars.fixed(F.col("start"), 1), scalars.fixed(F.col("t"), 1)))
     return chain.select("video_id", "slide", "start", F.col("t").alias("end"), "capture", note.alias("note"))
