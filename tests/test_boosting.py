@@ -97,3 +97,27 @@ def test_no_rows_or_one_label(spark, labels):
     model = boosting.fit(df, NAMES, settings=Settings(trees=2, depth=2, rows=1.0))
     assert all(f < 0 for t in model.trees for f in t.feature)
     assert boosting.predict(model, df).where("probability between 0 and 1").count() == len(labels)
+
+
+def test_a_level_is_one_job(spark):
+    x, y = data()
+    df = frame(spark, x, y).cache()
+    spark.sparkContext.setJobGroup("levels", "jobs of a fit")
+    try:
+        model = boosting.fit(df, NAMES, settings=Settings(trees=6, depth=4), edges=EDGES, key=["id"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    levels = sum(t.depth() for t in model.trees)
+    assert levels == 24 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) <= levels + 10
+
+
+def test_same_model_however_it_is_dealt(spark, monkeypatch):
+    """Margins written after every third tree, many small tasks, sums added up in tasks."""
+    x, y = data()
+    df, shape = frame(spark, x, y), Settings(trees=8, depth=3)
+    one = boosting.fit(df, NAMES, settings=shape, edges=EDGES, key=["id"])
+    for name, value in {"PENDING": 3, "TASK_ROWS": 40, "FEW_TASKS": 2}.items():
+        monkeypatch.setattr(boosting, name, value)
+    many = boosting.fit(df.repartition(7), NAMES, settings=shape, edges=EDGES, key=["id"])
+    assert [t.feature for t in one.trees] == [t.feature for t in many.trees] and [t.cut for t in one.trees] == [t.cut for t in many.trees]
+    assert np.allclose([t.value for t in one.trees], [t.value for t in many.trees], atol=1e-6)

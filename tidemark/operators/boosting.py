@@ -1,9 +1,9 @@
 """Second-order boosted trees from histograms of gradients that Spark sums.
 
-Features are cut into bins once and stored as small integers. A level of a tree is one job: rows find their
-node, tasks sum gradients and curvatures by (node, feature, bin), and Spark adds up the tasks' sums. Of two siblings only the
-lighter one is summed, the other is the parent less it. What reaches the driver is at most
-2^(depth - 1) * features * (bins + 1) sums, whatever the number of rows.
+Features are cut into bins once and stored as small integers. A level of a tree is one job over blocks of rows that Spark
+keeps between jobs: rows find their node, tasks sum gradients and curvatures by (node, feature, bin), and Spark adds up the
+tasks' sums. Of two siblings only the lighter one is summed, the other is the parent less it. What reaches the driver is at most
+2^(depth - 1) * features * (bins + 1) sums from each of a few tasks, whatever the number of rows.
 
 Gradients are rounded to whole multiples of 2^-20 before they are summed, so sums do not depend on the order of rows:
 the same rows give the same model on any cluster and after lost tasks. Sums hold up to 8 * 10^12 rows of weight one.
@@ -12,12 +12,14 @@ the same rows give the same model on any cluster and after lost tasks. Sums hold
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ from ..session import scratch
 
 #: Gradients and curvatures are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
-#: Trees whose margins are computed anew by each job before they are written beside the rows.
+#: Trees whose margins are only kept by Spark before they are written beside the rows; a lost block is made again from there.
 PENDING = 10
+#: Rows for which a task of its own is worth while.
+TASK_ROWS = 1 << 15
+#: Tasks whose sums the driver adds up itself; those of more tasks are added up in tasks first.
+FEW_TASKS = 32
 
 
 @dataclass(frozen=True)
@@ -121,36 +127,65 @@ def _split_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return bins.flatten().to_numpy().reshape(len(bins), -1).T.astype(np.int64), batch.column("m").to_numpy()
 
 
-def histogram(rows: DataFrame, pending: list[Tree], tree: Tree, level: int, wanted: list[int], columns: list[int], widest: int) -> DataFrame:
-    """(place, g, h): sums of gradients and curvatures of the logistic loss, in units, over rows (b, y, w, m).
+@dataclass
+class Block:
+    """A batch of rows: bins by feature, label, weight, written margin, margin of the pending trees, a bit for each pending tree that draws the row."""
 
-    A place is that of (node of wanted, column, bin + 1) in row order. A task holds one array of sums and gives its non-zero
-    places once, which Spark adds up.
-    """
+    bins: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    m: np.ndarray
+    added: np.ndarray
+    drawn: np.ndarray
+
+    def grown(self, tree: Tree) -> Block:
+        return replace(self, added=self.added + margins([tree], self.bins))
+
+
+def _blocks(rows: DataFrame, first: int, widest: int, s: Settings) -> RDD:
+    """Blocks of the stored rows (b, y, w, k, m) for the trees from first on, a batch to a block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, m = _split_batch(batch)
+            y, w, drawn = (batch.column(c).to_numpy() for c in "ywd")
+            block = Block(bins.astype(np.int8 if widest < 128 else np.int16), y, w, m, np.zeros(len(m)), drawn)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+
+    bit = lambda i: F.when(_draws(first + i, s), F.lit(1 << i)).otherwise(0).cast("int")
+    drawn = sum((bit(i) for i in range(PENDING)), F.lit(0))
+    return rows.select("b", "y", "w", "m", drawn.alias("d")).mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r.block))
+
+
+def _draws(number: int, s: Settings) -> Column:
+    """Whether a tree sees a row."""
+    return F.lit(True) if s.rows >= 1 else F.pmod(F.xxhash64("k", F.lit(s.seed), F.lit(number)), F.lit(1 << 20)) < int(s.rows * (1 << 20))
+
+
+def histogram(blocks: RDD, bit: int, tree: Tree, level: int, wanted: list[int], columns: list[int], widest: int) -> np.ndarray:
+    """Sums of gradients and curvatures of the logistic loss, in units, by (node of wanted, column, bin + 1, which of both), over the rows drawn by bit."""
     slot = np.full(1 << (level + 1), -1)
     slot[wanted] = np.arange(len(wanted))
     shape = (len(wanted), len(columns), widest + 1)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(part: Iterator[Block]) -> Iterator[np.ndarray]:
         held = np.zeros((2, int(np.prod(shape))), np.int64)
-        for batch in batches:
-            bins, m = _split_batch(batch)
-            at = slot[walk(tree, bins, level)]
-            seen = np.flatnonzero(at >= 0)
-            bins = bins[:, seen]
-            p = 1 / (1 + np.exp(-(m[seen] + margins(pending, bins))))
-            w = batch.column("w").to_numpy()[seen]
-            g = np.rint((p - batch.column("y").to_numpy()[seen]) * w * UNIT)
+        for block in part:
+            seen = np.flatnonzero(block.drawn >> bit & 1)
+            at = slot[walk(tree, block.bins[:, seen], level)]
+            seen, at = seen[at >= 0], at[at >= 0]
+            p, w = 1 / (1 + np.exp(-(block.m[seen] + block.added[seen]))), block.w[seen]
+            g = np.rint((p - block.y[seen]) * w * UNIT)
             h = np.rint(np.maximum(p * (1 - p), 1e-16) * w * UNIT)
             for i, c in enumerate(columns):
-                place = (at[seen] * shape[1] + i) * shape[2] + bins[c] + 1
+                place = (at * shape[1] + i) * shape[2] + block.bins[c, seen] + 1
                 for k, x in enumerate((g, h)):  # whole numbers below 2^53 in a batch, so exact
                     held[k] += np.bincount(place, x, held.shape[1]).astype(np.int64)
-        some = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[0, some]), pa.array(held[1, some])], names=["place", "g", "h"])
+        yield held
 
-    each = rows.select("b", "y", "w", "m").mapInArrow(sums, "place long, g long, h long")
-    return each.groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    tasks = blocks.getNumPartitions()
+    found = blocks.mapPartitions(sums).treeReduce(np.add, 1 if tasks <= FEW_TASKS else 2) if tasks else np.zeros((2, int(np.prod(shape))), np.int64)
+    return np.moveaxis(found.reshape(2, *shape), 0, -1)
 
 
 def _shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
@@ -199,17 +234,14 @@ def _pruned(tree: Tree, sums: dict[int, np.ndarray], s: Settings) -> Tree:
     return tree
 
 
-def grow(rows: DataFrame, pending: list[Tree], columns: list[int], widest: int, s: Settings) -> Tree:
-    """One tree over rows (b, y, w, m) whose margins lack the pending trees, level by level."""
+def grow(blocks: RDD, bit: int, columns: list[int], widest: int, s: Settings) -> Tree:
+    """One tree over the rows that it draws, level by level."""
     tree = Tree.empty(s.depth)
     place = {f: i for i, f in enumerate(columns)}
     totals, above = {}, {}
     wanted, derived = [1], {}
     for level in range(s.depth):
-        found = histogram(rows, pending, tree, level, wanted, columns, widest).toArrow()
-        flat = np.zeros((len(wanted) * len(columns) * (widest + 1), 2), np.int64)
-        flat[found["place"].to_numpy()] = np.stack([found["g"].to_numpy(), found["h"].to_numpy()], 1)
-        here = dict(zip(wanted, flat.reshape(len(wanted), len(columns), widest + 1, 2), strict=True))
+        here = dict(zip(wanted, histogram(blocks, bit, tree, level, wanted, columns, widest), strict=True))
         here |= {n: above[n // 2] - here[other] for n, other in derived.items()}
         wanted, derived = [], {}
         for n in sorted(here):
@@ -245,7 +277,7 @@ def fit(train: DataFrame, features: list[str], label: str = "label", settings: S
     edges = edges if edges is not None else bin_edges(train, features, s.bins)
     widest = max(map(len, edges)) + 1
     y = F.col(f"`{label}`").cast("double")
-    sums = train.agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1")).first()
+    sums = train.agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"), F.count("*").alias("n")).first()
     weight = sums["n0"] / sums["n1"] if sums["n1"] else 1.0
     named = [F.col(f"`{c}`") for c in key or [*features, label]]
 
@@ -254,20 +286,29 @@ def fit(train: DataFrame, features: list[str], label: str = "label", settings: S
         return pd.Series(list(binned(x.to_numpy(np.float64), edges).T.astype(np.int16)))
 
     rows = train.select(bins(_given(features)).alias("b"), y.alias("y"), F.when(y == 1, float(weight)).otherwise(1.0).alias("w"), F.xxhash64(*named).alias("k"), F.lit(0.0).alias("m"))
-    rows = _stored(spark, rows)
-    model, pending = Boosted(list(features), edges, []), []
+    tasks = 1 + sums["n"] // TASK_ROWS
+    rows = _stored(spark, rows, tasks)
+    model, blocks = Boosted(list(features), edges, []), None
     drawn = np.random.default_rng(s.seed)
     for number in range(s.trees):
-        if len(pending) == PENDING:
-            rows, pending = _stored(spark, _with_margins(rows, pending)), []
+        bit = number % PENDING
+        if number and not bit:
+            rows = _stored(spark, _with_margins(rows, model.trees[-PENDING:]), tasks)
         columns = sorted(drawn.choice(len(features), max(1, int(s.columns * len(features))), replace=False).tolist())
-        seen = rows if s.rows >= 1 else rows.where(F.pmod(F.xxhash64("k", F.lit(s.seed), F.lit(number)), F.lit(1 << 20)) < int(s.rows * (1 << 20)))
-        tree = grow(seen, pending, columns, widest, s)
-        model.trees.append(tree)
-        pending.append(tree)
+        held, blocks = blocks, _grown(blocks, model.trees[-1]) if bit else _blocks(rows, number, widest, s)
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        model.trees.append(grow(blocks, bit, columns, widest, s))
+        if held is not None:
+            held.unpersist()
+    if blocks is not None:
+        blocks.unpersist()
     return model
 
 
+def _grown(blocks: RDD, tree: Tree) -> RDD:
+    return blocks.map(lambda b: b.grown(tree))
+
+
 def _given(features: list[str]) -> Column:
     return F.struct(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
 
@@ -281,9 +322,10 @@ def _with_margins(rows: DataFrame, pending: list[Tree]) -> DataFrame:
     return rows.mapInArrow(add, rows.schema)
 
 
-def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _stored(spark: SparkSession, rows: DataFrame, tasks: int) -> DataFrame:
+    """rows, written by so many tasks at most."""
     path = scratch(spark, "boosting")
-    rows.write.parquet(path)
+    rows.coalesce(tasks).write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
